@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, sharding
+from . import decontam, exact_dedup, pii, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_pii": pii.op4_pii,
     "op5_sharding": sharding.op5_sharding,
+    "op7_decontamination": decontam.op7_decontamination,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-ORACLES: dict[str, str] = {"op10_exact_dedup": exact_dedup.SQL, "op5_sharding": sharding.SQL}
+ORACLES: dict[str, str] = {"op10_exact_dedup": exact_dedup.SQL, "op5_sharding": sharding.SQL, "op7_decontamination": decontam.SQL}
