@@ -7,7 +7,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -73,3 +73,25 @@ def shingle_set(text: bytes | None, memo: WordHashes, width: int = 5) -> np.ndar
         out = (out + h[i : n - k + 1 + i]) * _MULT
         out ^= out >> np.uint64(32)
     return np.unique(mixed(out))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int, keep: Column | None = None) -> DataFrame:
+    """(doc_id, text, target) of about `rows` labelled documents at most, chosen by a hash of the doc_id.
+
+    Only ids of the sample are broadcast: their number is bounded by `rows` (plus chance), whatever the tables hold.
+    Documents repeated with their id come once; labels that contradict each other give the larger one."""
+    one = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col(target).cast("int").alias("__y")).where("__id IS NOT NULL AND __y IS NOT NULL")
+    one = one.groupBy("__id").agg(F.max("__y").alias("__y"))
+    if keep is not None:
+        one = one.where(keep)
+    total = one.count()
+    share = F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, rows / max(total, 1)))
+    picked = one.where(share) if total > rows else one
+    texts = docs.select(F.col("doc_id").cast("long").alias("__doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    out = texts.join(F.broadcast(picked), F.col("__doc") == F.col("__id"))
+    return out.select(F.col("__id").alias("doc_id"), "text", F.col("__y").alias(target))
+
+
+def in_fold(id_col: str = "doc_id") -> Column:
+    """The held-out quarter of the documents."""
+    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2

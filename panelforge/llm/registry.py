@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, pii, sharding
+from . import decontam, exact_dedup, mixing, pii, quality, sharding, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": mixing.op2_mixing,
+    "op3_token_counts": tokens.op3_token_counts,
     "op4_pii": pii.op4_pii,
     "op5_sharding": sharding.op5_sharding,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_decontamination": decontam.op7_decontamination,
+    "op9_quality": quality.op9_quality,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES: dict[str, str] = {"op10_exact_dedup": exact_dedup.SQL, "op5_sharding": sharding.SQL, "op7_decontamination": decontam.SQL}
