@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, mixing, pii, quality, sharding, tokens, toxicity
+from . import decontam, exact_dedup, mixing, ngram_join, pii, quality, sharding, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_mixing": mixing.op2_mixing,
     "op3_token_counts": tokens.op3_token_counts,
     "op4_pii": pii.op4_pii,
@@ -18,4 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": quality.op9_quality,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-ORACLES: dict[str, str] = {"op10_exact_dedup": exact_dedup.SQL, "op5_sharding": sharding.SQL, "op7_decontamination": decontam.SQL}
+ORACLES: dict[str, str] = {
+    "op1_ngram_join": ngram_join.SQL,
+    "op5_sharding": sharding.SQL,
+    "op7_decontamination": decontam.SQL,
+    "op10_exact_dedup": exact_dedup.SQL,
+}
