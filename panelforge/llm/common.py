@@ -95,3 +95,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int,
 def in_fold(id_col: str = "doc_id") -> Column:
     """The held-out quarter of the documents."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2
+
+
+BROADCAST_IDS = 1_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id isn't in the one column of ids, with all their columns. Null ids match null ids.
+
+    The ids are broadcast where they are few; else docs are shuffled by id."""
+    ids = cut(ids.toDF("__gone_id").distinct())
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, docs[id_col].cast("long").eqNullSafe(F.col("__gone_id")), "left_anti")

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, without_ids
 
 WINDOW, GRAM = 13, 5
 SPAN = WINDOW - GRAM + 1
@@ -141,8 +141,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that aren't contaminated, with all their columns."""
-    bad = contamination(docs, items, id_col, text_col).where("contaminated").select(F.col("doc_id").alias("__bad_id"))
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(F.col("__bad_id")), "left_anti")
+    return without_ids(docs, contamination(docs, items, id_col, text_col).where("contaminated").select("doc_id"), id_col)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

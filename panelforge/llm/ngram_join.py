@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, mixed, shingle_set, table
+from .common import BROADCAST_IDS, WordHashes, cut, mixed, shingle_set, table, without_ids
 from .components import components
 
 WIDTH, NUM, DEN = 5, 4, 5  # words of a shingle; similarity 4/5
@@ -348,8 +348,6 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["a", "b"])
 
 
-BROADCAST_IDS = 1_000_000
-
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar."""
@@ -405,8 +403,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that aren't near duplicates of one with a smaller id, with all their columns. Rows without an
     id stay."""
-    gone = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone_id"))
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone_id"), "left_anti")
+    return without_ids(docs, near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select("doc_id"), id_col)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, mixing, ngram_join, pii, quality, sharding, tokens, toxicity
+from . import decontam, exact_dedup, html_extract, mixing, ngram_join, pii, quality, sharding, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": sharding.op5_sharding,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_decontamination": decontam.op7_decontamination,
+    "op8_html_extraction": html_extract.op8_html_extraction,
     "op9_quality": quality.op9_quality,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
