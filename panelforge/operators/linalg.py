@@ -1,0 +1,223 @@
+"""Small dense kernels for grouped functions. Arrays in, arrays out; no Spark here."""
+
+from __future__ import annotations
+
+import numpy as np
+
+
+def solve_spd(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.linalg.solve((a + a.T) / 2, b)
+
+
+def statistics_matrix(i: np.ndarray, j: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """The symmetric moment matrix of (1, features, label) from its upper triangle."""
+    k = int(j.max()) + 1
+    out = np.zeros((k, k))
+    out[i, j] = s
+    out[j, i] = s
+    return out
+
+
+def ridge(m: np.ndarray, penalty: float) -> np.ndarray:
+    """(intercept, coefficients) from a moment matrix: the penalty is n * penalty on centred products, the intercept
+    is free. Without rows all are 0."""
+    n, p = m[0, 0], len(m) - 2
+    if n == 0:
+        return np.zeros(p + 1)
+    sx, sy = m[0, 1:-1], m[0, -1]
+    coef = solve_spd(m[1:-1, 1:-1] - np.outer(sx, sx) / n + n * penalty * np.eye(p), m[1:-1, -1] - sx * sy / n)
+    return np.concatenate([[(sy - sx @ coef) / n], coef])
+
+
+def mean_squared_error(m: np.ndarray, beta: np.ndarray) -> float:
+    """Of the fit beta on the rows that m sums up: a quadratic form in (beta, -1)."""
+    v = np.append(beta, -1.0)
+    return max(0.0, float(v @ m @ v)) / m[0, 0]
+
+
+def ridge_path(train: np.ndarray, held: np.ndarray, penalties: np.ndarray) -> np.ndarray:
+    """Mean squared errors on held for many penalties, with one eigendecomposition: in the eigenbasis of the centred
+    products a penalty only rescales coordinates."""
+    n, mx, my = train[0, 0], train[0, 1:-1] / train[0, 0], train[0, -1] / train[0, 0]
+    values, vectors = np.linalg.eigh(train[1:-1, 1:-1] - n * np.outer(mx, mx))
+    u = vectors.T @ (train[1:-1, -1] - n * mx * my)
+    shift = np.eye(len(held))  # rows become (1, x - mx, y - my)
+    shift[1:-1, 0], shift[-1, 0] = -mx, -my
+    c = shift @ held @ shift.T
+    gram, cross = vectors.T @ c[1:-1, 1:-1] @ vectors, vectors.T @ c[1:-1, -1]
+    coef = u[:, None] / (np.maximum(values, 0.0)[:, None] + n * np.asarray(penalties)[None, :])
+    return np.maximum(c[-1, -1] - 2 * cross @ coef + np.einsum("ik,ij,jk->k", coef, gram, coef), 0.0) / held[0, 0]
+
+
+def section_ridge(x: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
+    """Coefficients of one cross-section, without intercept; columns that don't vary get 0; the penalty is relative to
+    the root mean square of y; the smaller of the two normal systems is solved."""
+    out, scale = np.zeros(x.shape[1]), float(np.sqrt(np.mean(y**2))) if len(y) else 0.0
+    used = x.var(0) > 0 if len(y) else np.zeros(x.shape[1], bool)
+    if scale == 0 or not used.any():
+        return out
+    a, extra = x[:, used], len(y) * penalty / scale
+    if a.shape[1] <= len(y):
+        out[used] = solve_spd(a.T @ a + extra * np.eye(a.shape[1]), a.T @ y)
+    else:
+        out[used] = a.T @ solve_spd(a @ a.T + extra * np.eye(len(y)), y)
+    return out
+
+
+def factor_root(cov: np.ndarray) -> np.ndarray:
+    """R with R R' = cov; raises if cov is indefinite beyond rounding."""
+    values, vectors = np.linalg.eigh((cov + cov.T) / 2)
+    if values.min(initial=0.0) < -1e-9 * max(np.abs(values).max(initial=0.0), 1e-20):
+        raise ValueError("the factor covariance is indefinite")
+    return vectors * np.sqrt(np.maximum(values, 0.0))
+
+
+def woodbury(diagonal: np.ndarray, loading: np.ndarray, rhs: np.ndarray) -> np.ndarray:
+    """(diag + loading loading')^-1 rhs, by a system of the factors' size."""
+    if not np.all(np.isfinite(diagonal) & (diagonal > 0)):
+        raise ValueError("specific variances must be positive")
+    b = rhs.reshape(len(diagonal), -1)
+    z, q = b / diagonal[:, None], loading / diagonal[:, None]
+    out = z - q @ solve_spd(np.eye(loading.shape[1]) + loading.T @ q, loading.T @ z)
+    return out.reshape(rhs.shape)
+
+
+def variance(w: np.ndarray, diagonal: np.ndarray, loading: np.ndarray) -> float:
+    return float(w**2 @ diagonal + np.sum((loading.T @ w) ** 2))
+
+
+def minimum_variance(diagonal: np.ndarray, loading: np.ndarray) -> np.ndarray:
+    raw = woodbury(diagonal, loading, np.ones(len(diagonal)))
+    if not raw.sum() > 0:
+        raise ValueError("no minimum variance portfolio")
+    return raw / raw.sum()
+
+
+def to_volatility(w: np.ndarray, diagonal: np.ndarray, loading: np.ndarray, target: float = 0.10, days: int = 252) -> np.ndarray:
+    v = variance(w, diagonal, loading)
+    if not (np.isfinite(v) and v > 0):
+        raise ValueError("the direction has no variance")
+    return w * target / np.sqrt(days * v)
+
+
+def markowitz(mu: np.ndarray, diagonal: np.ndarray, loading: np.ndarray, target: float = 0.10, penalty: float = 0.0) -> np.ndarray:
+    """penalty: of squared weights, in units of the median stock variance."""
+    extra = penalty * float(np.median(diagonal + (loading**2).sum(1)))
+    return to_volatility(woodbury(diagonal + extra, loading, mu), diagonal, loading, target)
+
+
+def neutral(mu: np.ndarray, h: np.ndarray, diagonal: np.ndarray, loading: np.ndarray, target: float = 0.10) -> np.ndarray:
+    """Markowitz weights with h'w = 0; h's columns that no stock has are left out."""
+    h = h[:, h.any(0)]
+    solved = woodbury(diagonal, loading, np.column_stack([mu, h]))
+    w = solved[:, 0] - solved[:, 1:] @ np.linalg.lstsq(h.T @ solved[:, 1:], h.T @ solved[:, 0], rcond=None)[0]
+    if np.linalg.norm(w) <= 1e-10 * np.linalg.norm(solved[:, 0]):
+        raise ValueError("constraints leave no direction")
+    return to_volatility(w, diagonal, loading, target)
+
+
+def sleeves(mu: np.ndarray, groups: np.ndarray, diagonal: np.ndarray, loading: np.ndarray, target: float = 0.10) -> tuple[np.ndarray, list]:
+    """(stocks x sleeves, group of each): net-zero portfolios inside each group of two stocks or more."""
+    columns, names = [], []
+    for g in sorted(set(groups.tolist())):
+        at = np.flatnonzero(groups == g)
+        if len(at) < 2:
+            continue
+        try:
+            local = neutral(mu[at], np.ones((len(at), 1)), diagonal[at], loading[at], target)
+        except ValueError:
+            continue
+        column = np.zeros(len(mu))
+        column[at] = local
+        columns.append(column)
+        names.append(g)
+    if not columns:
+        raise ValueError("no active sleeve")
+    return np.column_stack(columns), names
+
+
+def simplex_minimum_variance(cov: np.ndarray, steps: int = 5000) -> np.ndarray:
+    """argmin x'cov x over nonnegative x with sum 1, by accelerated projection."""
+    k, top = len(cov), max(float(np.linalg.eigvalsh(cov)[-1]), 1e-300)
+    x = y = np.full(k, 1.0 / k)
+    t = 1.0
+    for _ in range(steps):
+        z = y - cov @ y / top
+        u = np.sort(z)[::-1]
+        css = (np.cumsum(u) - 1) / np.arange(1, k + 1)
+        new = np.maximum(z - css[np.flatnonzero(u > css)[-1]], 0.0)
+        t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
+        y = new + (last - 1) / t * (new - x)
+        if np.abs(new - x).max() < 1e-12:
+            return new
+        x = new
+    return x
+
+
+def nonnegative_tangency(mu: np.ndarray, cov: np.ndarray, steps: int = 20000) -> np.ndarray:
+    """The nonnegative direction of the largest mean over deviation: argmin x'cov x / 2 - mu'x over x >= 0."""
+    top = max(float(np.linalg.eigvalsh(cov)[-1]), 1e-300)
+    x = y = np.maximum(mu, 0.0) / top
+    t = 1.0
+    for _ in range(steps):
+        new = np.maximum(y - (cov @ y - mu) / top, 0.0)
+        t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
+        y = new + (last - 1) / t * (new - x)
+        if np.abs(new - x).max() <= 1e-12 * max(1.0, np.abs(x).max()):
+            return new
+        x = new
+    return x
+
+
+def principal(cov: np.ndarray, share: float = 0.9) -> np.ndarray:
+    """Leading eigenvectors that hold `share` of the variance; the largest loading of each is positive."""
+    values, vectors = np.linalg.eigh((cov + cov.T) / 2)
+    values, vectors = np.maximum(values[::-1], 0.0), vectors[:, ::-1]
+    if values.sum() == 0:
+        return vectors[:, :0]
+    keep = int(np.searchsorted(np.cumsum(values) / values.sum(), share - 1e-12)) + 1
+    out = vectors[:, :keep]
+    return out * np.sign(out[np.abs(out).argmax(0), np.arange(keep)])
+
+
+def truncated(cov: np.ndarray, diagonal: np.ndarray, exposures: np.ndarray, share: float = 0.9) -> tuple[np.ndarray, np.ndarray]:
+    """The covariance on its leading eigenvectors, and the diagonal with what stocks lose by that."""
+    v = principal(cov, share)
+    kept = v @ (v.T @ cov @ v) @ v.T
+    lost = np.einsum("ij,jk,ik->i", exposures, cov - kept, exposures)
+    return kept, diagonal + np.maximum(lost, 0.0)
+
+
+def ward(points: np.ndarray, groups: int) -> np.ndarray:
+    """Labels of agglomerative clusters that increase the within-cluster squares least; labels are by first member."""
+    n = len(points)
+    sizes, centres, members = np.ones(n), points.astype(float).copy(), [[k] for k in range(n)]
+    alive = list(range(n))
+    while len(alive) > max(1, groups):
+        c, s = centres[alive], sizes[alive]
+        d = ((c[:, None, :] - c[None, :, :]) ** 2).sum(2) * (s[:, None] * s[None, :]) / (s[:, None] + s[None, :])
+        d[np.tril_indices(len(alive))] = np.inf
+        i, j = np.unravel_index(np.argmin(d), d.shape)
+        a, b = alive[i], alive[j]
+        centres[a] = (sizes[a] * centres[a] + sizes[b] * centres[b]) / (sizes[a] + sizes[b])
+        sizes[a] += sizes[b]
+        members[a] += members[b]
+        alive.pop(j)
+    labels = np.empty(n, int)
+    for k, rows in enumerate(sorted((sorted(members[a]) for a in alive), key=lambda m: m[0])):
+        labels[rows] = k
+    return labels
+
+
+def correlation_groups(factors: np.ndarray, market: np.ndarray, groups: int = 21) -> np.ndarray:
+    """Ward labels of factors by their correlations net of the market; a constant one is far from all others."""
+    x, m = factors - factors.mean(0), market - market.mean()
+    if m @ m > 0:
+        x = x - np.outer(m, m @ x / (m @ m))
+    size = np.sqrt((x**2).sum(0))
+    moving = size > 1e-12 * np.maximum(np.sqrt((factors**2).sum(0)), 1e-20)
+    points = np.zeros((x.shape[1], len(x) + x.shape[1]))
+    points[moving, : len(x)] = (x[:, moving] / size[moving]).T
+    still = np.flatnonzero(~moving)
+    points[still, len(x) + still] = 1.0
+    return ward(points, groups)

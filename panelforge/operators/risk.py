@@ -1,0 +1,124 @@
+"""Daily factor risk: exposures, cross-sectional regressions, residuals, specific volatility, market proxies."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.values import INDUSTRIES, industry
+from . import linalg
+from .joins import on_formation
+from .ranks import long_form, percentile_ranks, wide_form, z_scores
+
+DAY = "date date, id long, factor array<double>, res double"
+
+
+def exposures(panel: DataFrame, features: list[str], min_obs: int = 10, sic: str = "sic") -> DataFrame:
+    """(eom, eom_ret, id, industry, b): twelve industry indicators, then standardised ranks."""
+    keys = ["id", "eom", "eom_ret", "excntry", sic]
+    rows = percentile_ranks(long_form(panel, keys, features), ["excntry", "eom", "feature"], min_obs=min_obs)
+    wide = wide_form(z_scores(rows, ["eom", "feature"]), keys, features, "z").withColumn("industry", industry(F.col(sic)))
+    b = F.array(*[(F.col("industry") == name).cast("double") for name in INDUSTRIES], *[F.col(f) for f in features])
+    return wide.select("eom", "eom_ret", "id", "industry", b.alias("b"))
+
+
+def daily_regressions(days: DataFrame, b: DataFrame, penalty: float = 1e-4, value: str = "ret_exc") -> DataFrame:
+    """(date, id, factor, res) of all days with two entities or more, on exposures formed the month before. A day is one
+    group: its size is that of the cross-section, and days run in parallel."""
+    joined = on_formation(days, b.select("eom_ret", "id", "b"), ["id"]).select("date", "id", "b", F.col(value).alias("y"))
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        if len(frame) < 2:
+            return pd.DataFrame({"date": [], "id": [], "factor": [], "res": []})
+        frame = frame.sort_values("id")
+        x, y = np.stack(frame["b"].to_numpy()), frame["y"].to_numpy(float)
+        f = linalg.section_ridge(x, y, penalty)
+        return pd.DataFrame({"date": frame["date"], "id": frame["id"], "factor": [f] * len(frame), "res": y - x @ f})
+
+    return joined.groupBy("date").applyInPandas(fit, DAY)
+
+
+def factor_returns(fits: DataFrame) -> DataFrame:
+    return fits.groupBy("date").agg(F.first("factor").alias("f"))
+
+
+def specific_volatility(res: DataFrame, seed: int = 63, half_life: float = 84.0, least: int = 200, window: int = 252) -> DataFrame:
+    """(id, date, vol, eligible) before each residual.
+
+    The variance after `seed` residuals is their squares' sum over seed - 1; then it decays with the residual before
+    the last update. As the recursion is linear it is a running sum: var(c) = d^(c-seed) * (var0 + (1-d) * sum of
+    res_j^2 * d^-(j-seed+1)), j from seed to c - 2 ... one window over each entity's rows. Eligible: `least` earlier
+    residuals, the oldest of them in the last `window` trading dates, and a positive volatility."""
+    dates = res.select("date").distinct().withColumn("day", F.row_number().over(Window.orderBy("date")) - 1)  # a row a trading date
+    w = Window.partitionBy("id").orderBy("date")
+    rows = res.join(F.broadcast(dates), "date").withColumn("c", F.row_number().over(w) - 1)
+    d = 0.5 ** (1.0 / half_life)
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    first = F.sum(F.when(F.col("c") < seed, F.col("res") * F.col("res"))).over(past) / max(1, seed - 1)
+    k = (F.col("c") - seed).cast("double")
+    grown = F.when(F.col("c") >= seed, F.col("res") * F.col("res") * F.pow(F.lit(d), -k))
+    later = F.coalesce(F.sum(grown).over(past), F.lit(0.0))
+    var = F.pow(F.lit(d), k) * first + F.lit(1 - d) * F.pow(F.lit(d), k - 1) * later
+    vol = F.when(F.col("c") >= seed, F.sqrt(var))
+    old = F.lag("day", least).over(w)
+    out = rows.withColumn("vol", vol).withColumn("old", old)
+    fine = (F.col("c") >= least) & (F.col("day") >= window) & (F.col("old") >= F.col("day") - window) & (F.col("vol") > 0)
+    return out.select("id", "date", "vol", F.coalesce(fine, F.lit(False)).alias("eligible"))
+
+
+def filled_volatility(b: DataFrame, vols: DataFrame, penalty: float = 1e-4) -> DataFrame:
+    """(eom, id, vol): observed where eligible, else from the month's regression of log volatility on exposures. Months
+    with under two observed entities take the latest fit before them."""
+    joined = b.join(vols, ["eom", "id"], "left").select("eom", "id", "b", "vol")
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        seen = frame[frame["vol"].notna() & (frame["vol"] > 0)].sort_values("id")
+        beta = linalg.section_ridge(np.stack(seen["b"].to_numpy()), np.log(seen["vol"].to_numpy(float)), penalty).tolist() if len(seen) > 1 else None
+        return pd.DataFrame({"eom": [frame["eom"].iloc[0]], "beta": [beta]})
+
+    fits = joined.groupBy("eom").applyInPandas(fit, "eom date, beta array<double>")
+    fits = fits.withColumn("beta", F.last("beta", ignorenulls=True).over(Window.orderBy("eom")))  # a row a month
+    dot = F.aggregate(F.zip_with("b", "beta", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    return joined.join(F.broadcast(fits), "eom").select("eom", "id", F.coalesce(F.when(F.col("vol") > 0, F.col("vol")), F.exp(dot)).alias("vol"))
+
+
+def equal_weight_proxy(days: DataFrame, value: str = "ret_exc") -> DataFrame:
+    return days.groupBy("date").agg(F.avg(value).alias("ret"), F.count("*").alias("observed"))
+
+
+def cap_weight_proxy(days: DataFrame, caps: DataFrame, value: str = "ret_exc", cap: str = "capital") -> DataFrame:
+    """(date, ret, observed, valid, valid_fraction, capital, weighting), weighted by the month before's capital; equal
+    weights on days without a valid one. Capital is scaled by the day's largest before it is summed."""
+    joined = days.withColumn("eom", F.last_day(F.add_months("date", -1))).join(caps.select("id", "eom", F.col(cap).alias("cap")), ["id", "eom"], "left")
+    valid = (F.col("cap") > 0) & (F.col("cap") < float("inf"))
+    joined = joined.withColumn("cap", F.when(valid, F.col("cap"))).withColumn("top", F.max("cap").over(Window.partitionBy("date")))
+    unit = F.col("cap") / F.col("top")
+    out = joined.groupBy("date").agg(
+        F.coalesce(F.sum(unit * F.col(value)) / F.sum(unit), F.avg(value)).alias("ret"),
+        F.count("*").alias("observed"),
+        F.count("cap").alias("valid"),
+        (F.count("cap") / F.count("*")).alias("valid_fraction"),
+        F.coalesce(F.sum("cap"), F.lit(0.0)).alias("capital"),
+    )
+    return out.withColumn("weighting", F.when(F.col("valid") > 0, "market_cap").otherwise("equal_no_valid_cap"))
+
+
+def monthly_factors(f: DataFrame) -> DataFrame:
+    """(eom, i, v): sums of daily factor returns."""
+    return f.select(F.last_day("date").alias("eom"), F.posexplode("f").alias("i", "x")).groupBy("eom", "i").agg(F.sum("x").alias("v"))
+
+
+def reconstructed(b: DataFrame, f: DataFrame, res: DataFrame) -> DataFrame:
+    """(id, date, ret): exposures of the month before times factor returns, plus residuals."""
+    joined = on_formation(res.join(F.broadcast(f), "date"), b.select("eom_ret", "id", "b"), ["id"])
+    dot = F.aggregate(F.zip_with("b", "f", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    return joined.select("id", "date", (dot + F.col("res")).alias("ret"))
+
+
+def projected(b: DataFrame, projection: np.ndarray) -> DataFrame:
+    """Exposures times a fixed matrix, bounded by the number of factors."""
+    columns = [F.aggregate(F.zip_with("b", F.array(*[F.lit(float(v)) for v in col]), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x) for col in projection.T]
+    return b.withColumn("b", F.array(*columns))
