@@ -11,6 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_ROWS = 2048
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Texts are long, so fewer of them go to a Python worker at once than by default; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,7 +50,7 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 class WordHashes(dict):
     """word bytes -> 64-bit hash, remembered up to a bound."""
 
-    LIMIT = 400_000
+    LIMIT = 120_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import modest_batches, table
 from .html_tree import Node, attributes, read
 from .labelled_pages import labelled_pages
 
@@ -176,6 +176,7 @@ def main_text(pages: DataFrame, model: TreeModel, id_col: str = "page_id", url_c
 
     Null and empty html has the empty text, as has a page without an article. Each row has its own result, repeated
     ones too; ids and urls may be null. No rows give no rows. Other columns are ignored."""
+    modest_batches(pages.sparkSession)
 
     @F.pandas_udf("string")
     def extracted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -19,14 +19,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table
+from .common import cut, modest_batches, table
 
 TRAINING_ROWS = 4_000
 BUCKETS = 1 << 14  # of the classifier's features
 TEMPERATURE = 0.7  # default targets: shares to this power
 FLOOR, CEILING = 0.0, 8.0
 STEPS, TOLERANCE = 25, 2e-3
-MEMO = 500_000
+MEMO = 120_000
 WORD = re.compile(r"\w+")
 
 
@@ -98,6 +98,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], classes: list[str], steps: in
 
 def trained(docs: DataFrame, labels: DataFrame, domain_col: str = "lang", rows: int = TRAINING_ROWS) -> DomainModel:
     """Fitted on a bounded sample of the documents in the labelled table. A null domain counts as ''."""
+    modest_batches(docs.sparkSession)
     ids = labels.select(F.col("doc_id").cast("long").alias("__id")).where("__id IS NOT NULL").distinct()
     total = ids.count()
     if total > rows:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_fold, labelled_sample, table
+from .common import in_fold, labelled_sample, modest_batches, table
 
 TRAINING_ROWS = 8_000
 BINS, ROUNDS, RATE, PAIRS, PAIR_BINS, PAIR_ROUNDS = 32, 150, 0.15, 6, 8, 50
@@ -162,6 +162,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
 
 def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> AdditiveModel:
     """Fitted on a bounded sample of the labelled documents outside the held-out quarter."""
+    modest_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, "quality", rows, ~in_fold("__id"))
     got = sample.select(document_features("text").alias("f"), "quality").toPandas()
     x = np.array(got["f"].tolist(), float).reshape(len(got), len(FEATURES))

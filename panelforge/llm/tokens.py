@@ -20,13 +20,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import modest_batches, table
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 END_MARK = "</w>"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = 256
-MEMO = 500_000
+MEMO = 120_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -125,6 +125,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, end_mark: str =
 
     Null and empty texts have no tokens. Each row has its own result, repeated ones too; ids may be null. No rows give
     no rows. Other columns are ignored. The vocabulary is read by the driver; its size bounds what executors get."""
+    modest_batches(docs.sparkSession)
     pieces = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary, end_mark))
 
     @F.pandas_udf("n_tokens long, n_words long")

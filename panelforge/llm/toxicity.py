@@ -19,13 +19,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_fold, labelled_sample, table
+from .common import cut, in_fold, labelled_sample, modest_batches, table
 
 TRAINING_ROWS = 8_000
 PREFIXES = (4, 5)
 GRADES = 3
 EVIDENCE, LEAST_DOCS, MOST_FEATURES = 25.0, 4, 20_000  # chi-square of a feature, its documents, the model's size
-MEMO = 500_000
+MEMO = 120_000
 WORD = re.compile(r"\w+")
 
 
@@ -66,18 +66,10 @@ def fit(documents: list[np.ndarray], toxic: np.ndarray, l2: float = 1e-3, steps:
     if not n1 or n1 == n:
         return OrdinalModel(np.empty(0, np.int64), np.empty(0), np.arange(1.0, GRADES + 1) + 4)
     rows = np.repeat(np.arange(n), [len(d) for d in documents])
-    names, ids = np.unique(np.concatenate(documents), return_inverse=True)
-    in_all, in_toxic = np.bincount(ids, minlength=len(names)), np.bincount(ids, toxic[rows], len(names))
-    in_clean = in_all - in_toxic
-    a, b, c, d = in_toxic, in_clean, n1 - in_toxic, n - n1 - in_clean
-    chi = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1)
-    good = np.flatnonzero((chi >= EVIDENCE) & (in_all >= LEAST_DOCS))
-    good = np.sort(good[np.argsort(-chi[good], kind="stable")[:MOST_FEATURES]])
-    place = np.full(len(names), -1)
-    place[good] = np.arange(len(good))
-    used = place[ids] >= 0
-    rows, cols, v = rows[used], place[ids][used], len(good)
-    marks = (a / n1 > 10 * (b + 0.5) / (n - n1))[good]
+    names, cols = np.unique(np.concatenate(documents).astype(np.int64), return_inverse=True)
+    v = len(names)
+    a, b = np.bincount(cols, toxic[rows], v), np.bincount(cols, ~toxic[rows], v)
+    marks = a / n1 > 10 * (b + 0.5) / (n - n1)
     held = np.bincount(rows, marks[cols].astype(float), n)
     cuts = np.quantile(held[toxic], [k / GRADES for k in range(1, GRADES)])
     grade = np.where(toxic, 1 + (held[:, None] > cuts[None, :]).sum(1), 0)
@@ -95,7 +87,7 @@ def fit(documents: list[np.ndarray], toxic: np.ndarray, l2: float = 1e-3, steps:
         m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad**2
         theta = theta - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-9)
     w, t = theta[:v], theta[v] + np.concatenate([[0.0], np.cumsum(np.exp(theta[v + 1 :]))])
-    return OrdinalModel(names[good], w, t)
+    return OrdinalModel(names, w, t)
 
 
 class WordMemo(dict):
@@ -114,11 +106,31 @@ class WordMemo(dict):
         return out
 
 
+def telling_features(sample: DataFrame) -> DataFrame:
+    """Of (f, toxic) rows, the features whose chi-square with the label is high; MOST_FEATURES at most, which bounds
+    the model and what the driver gets."""
+    n, n1 = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    each = sample.select(F.explode("f").alias("feature"), "toxic").groupBy("feature").agg(F.count("*").cast("double").alias("k"), F.sum("toxic").cast("double").alias("a"))
+    each = each.where(F.col("k") >= LEAST_DOCS)
+    b, c = F.col("k") - F.col("a"), F.lit(float(n1)) - F.col("a")
+    d = F.lit(float(n - n1)) - b
+    chi = F.lit(float(n)) * F.pow(F.col("a") * d - b * c, 2) / F.greatest(F.col("k") * (c + d) * F.lit(float(n1)) * F.lit(float(n - n1)), F.lit(1.0))
+    return each.withColumn("chi", chi).where(F.col("chi") >= EVIDENCE).orderBy(F.desc("chi"), "feature").limit(MOST_FEATURES).select("feature")
+
+
 def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> OrdinalModel:
     """Fitted on a bounded sample of the labelled documents outside the held-out quarter."""
-    sample = labelled_sample(docs, labels, "toxic", rows, ~in_fold("__id"))
-    got = sample.select(document_features("text").alias("f"), "toxic").toPandas()
-    return fit([np.asarray(f) for f in got["f"]], got["toxic"].to_numpy())
+    modest_batches(docs.sparkSession)
+    sample = cut(labelled_sample(docs, labels, "toxic", rows, ~in_fold("__id")).select(document_features("text").alias("f"), "toxic"))
+    chosen = np.sort(telling_features(sample).toPandas()["feature"].to_numpy(np.int64))
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for features in batches:
+            yield pd.Series([np.intersect1d(f, chosen, assume_unique=True) for f in features])
+
+    got = sample.select(held("f").alias("f"), "toxic").toPandas()
+    return fit([np.asarray(f, np.int64) for f in got["f"]], got["toxic"].to_numpy())
 
 
 def graded(text: Column, model: OrdinalModel) -> Column:
@@ -143,6 +155,7 @@ def toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_
 
     Null and empty texts have no features and get the severity that the thresholds alone give. Each row has its own
     result, repeated ones too; ids may be null. No rows give no rows. Other columns are ignored."""
+    modest_batches(docs.sparkSession)
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), graded(F.col(text_col), model).alias("g"))
     return out.select("doc_id", "g.severity", "g.p_toxic", "g.grade", (F.col("g.grade") >= 1).alias("toxic"))
 
