@@ -221,3 +221,90 @@ def correlation_groups(factors: np.ndarray, market: np.ndarray, groups: int = 21
     still = np.flatnonzero(~moving)
     points[still, len(x) + still] = 1.0
     return ward(points, groups)
+
+
+def weighted_covariance(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Unbiased for relative weights."""
+    w = w / w.sum()
+    c = x - w @ x
+    return (c * w[:, None]).T @ c / (1 - w @ w)
+
+
+def with_variances(cor: np.ndarray, var: np.ndarray) -> np.ndarray:
+    """Correlations of the one, deviations of the other."""
+    s, t = np.sqrt(np.maximum(np.diag(cor), 0.0)), np.sqrt(np.maximum(np.diag(var), 0.0))
+    scale = np.divide(t, s, out=np.zeros_like(t), where=s > 0)
+    return cor * np.outer(scale, scale)
+
+
+def aged_covariance(x: np.ndarray, ages: np.ndarray, correlation: float, variance: float, variance_age: float | None = None, correlation_age: float | None = None) -> np.ndarray:
+    """Half-lives in days; with a half-weight age, that part decays as 1 / (1 + age / h) instead."""
+    weights = [1 / (1 + ages / h) if h else 0.5 ** (ages / half) for half, h in ((correlation, correlation_age), (variance, variance_age))]
+    return with_variances(weighted_covariance(x, weights[0]), weighted_covariance(x, weights[1]))
+
+
+def selected_decay(x: np.ndarray, months: np.ndarray, correlation: float, variance: float, blocks: int = 5, component: str = "variance", width: int | None = None) -> float | None:
+    """The half-weight age among half, one and two times the half-life whose covariance, fitted without a block of
+    months, is nearest to the block's own; ties go to the lowest. None with too little history. Ages count held-out
+    days. `width` makes blocks of equal calendar spans no wider than that many months."""
+    known = np.unique(months)
+    if len(known) < blocks or len(x) < 10:
+        return None
+    if width is None:
+        parts = np.array_split(known, blocks)
+    else:
+        span = int(known[-1] - known[0]) + 1
+        count = max(blocks, -(-span // width))
+        at = np.minimum(count - 1, (known - known[0]) * count // span)
+        parts = [known[at == k] for k in range(count) if (at == k).any()]
+    ages, original = np.arange(len(x), 0, -1.0), variance if component == "variance" else correlation
+    errors = []
+    for part in parts:
+        held = np.isin(months, part)
+        if held.sum() < 2 or (~held).sum() < 2:
+            return None
+        target = np.cov(x[held].T, ddof=1).reshape(x.shape[1], -1)
+        fits = [aged_covariance(x[~held], ages[~held], correlation, variance, **{f"{component}_age": m * original}) for m in (0.5, 1.0, 2.0)]
+        errors.append([np.mean((f - target) ** 2) for f in fits])
+    return (0.5, 1.0, 2.0)[int(np.argmin(np.mean(errors, 0)))] * original
+
+
+def state_blend(pairs: list[tuple[bool, float, float]], least: int = 24, least_state: int = 2) -> dict[bool, float]:
+    """For each state, the share of the down covariance that fits targets best, from (state, <down - up, target - up>,
+    |down - up|^2) of past months; one half with too few."""
+    out = {}
+    for state in (False, True):
+        mine = [(b, c) for s, b, c in pairs if s == state]
+        total = sum(c for _, c in mine)
+        out[state] = float(np.clip(sum(b for b, _ in mine) / total, 0.0, 1.0)) if len(pairs) >= least and len(mine) >= least_state and total > 0 else 0.5
+    return out
+
+
+def multi_ridge(x: np.ndarray, y: np.ndarray, penalties: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(intercept, coefficients) for each penalty, from one decomposition."""
+    mx, my = x.mean(0), y.mean(0)
+    u, s, vt = np.linalg.svd(x - mx, full_matrices=False)
+    h = s[:, None] * (u.T @ (y - my))
+    coefs = [vt.T @ (h / (s**2 + len(x) * p)[:, None]) for p in penalties]
+    return [(my - mx @ c, c) for c in coefs]
+
+
+def mapped_error(forecasts: np.ndarray, stocks: list[tuple[int, np.ndarray, np.ndarray, float]]) -> float:
+    """Mean squared error of stock returns that factor forecasts imply, from each month's (n, B'B, B'y, y'y)."""
+    total = sum(s - 2 * m @ c + m @ g @ m for m, (_, g, c, s) in zip(forecasts, stocks, strict=True))
+    return max(0.0, float(total)) / max(1, sum(n for n, *_ in stocks))
+
+
+def lagged_fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray, penalties: np.ndarray, stocks: list | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    """(penalty, intercept, coefficients) of months on the months before, by held-out blocks: the loss is of factors,
+    or of stocks where their statistics are given. Without usable blocks the first penalty stays."""
+    losses = []
+    for k in np.unique(fold):
+        held = fold == k
+        if held.all() or (stocks is not None and not sum(s[0] for s, h in zip(stocks, held, strict=True) if h)):
+            continue
+        part = None if stocks is None else [s for s, h in zip(stocks, held, strict=True) if h]
+        fits = multi_ridge(x[~held], y[~held], penalties)
+        losses.append([float(np.mean((y[held] - a - x[held] @ c) ** 2)) if part is None else mapped_error(a + x[held] @ c, part) for a, c in fits])
+    best = int(np.argmin(np.mean(losses, 0))) if losses else 0
+    return float(penalties[best]), *multi_ridge(x, y, penalties[best : best + 1])[0]

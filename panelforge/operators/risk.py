@@ -32,7 +32,7 @@ def daily_regressions(days: DataFrame, b: DataFrame, penalty: float = 1e-4, valu
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         if len(frame) < 2:
-            return pd.DataFrame({"date": [], "id": [], "factor": [], "res": []})
+            return pd.DataFrame({c: pd.Series([], dtype=kind) for c, kind in (("date", object), ("id", "int64"), ("factor", object), ("res", float))})
         frame = frame.sort_values("id")
         x, y = np.stack(frame["b"].to_numpy()), frame["y"].to_numpy(float)
         f = linalg.section_ridge(x, y, penalty)
