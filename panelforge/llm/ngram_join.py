@@ -22,28 +22,42 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, WordHashes, cut, mixed, shingle_set, table, without_ids
+from .common import BROADCAST_IDS, WordHashes, cut, mixed, modest_batches, shingle_set, table, without_ids
 from .components import components
 
 WIDTH, NUM, DEN = 5, 4, 5  # words of a shingle; similarity 4/5
 GROUPS = 64
 RANGES, RANGE_BITS = 1024, 22  # of 32-bit shingle keys whose documents are counted
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 HEAVY_DOCS, HEAVY_SHARE = 16, 1e-4  # a shingle in that many documents, and in that share of them, goes last
 BLOCK = 8192  # members of a block of one very common shingle
 LEAF = 16
+SLICE = 256  # texts that are Python objects at once
 FULL = np.iinfo(np.uint16).max
 
 
 def _sets(batch: pa.RecordBatch, memo: WordHashes) -> Iterator[tuple[int, np.ndarray]]:
-    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-        yield doc_id, shingle_set(text, memo, WIDTH)
+    for k in range(0, batch.num_rows, SLICE):
+        part = batch.slice(k, SLICE)
+        for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            yield doc_id, shingle_set(text, memo, WIDTH)
 
 
 def prefix_length(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1 if n else 0
 
 
+def _packed_keys(shingles: np.ndarray) -> bytes:
+    """The upper 48 bits of each: enough to meet by, as shared keys only propose pairs."""
+    return np.ascontiguousarray((shingles >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _keys(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).reshape(-1)
+
+
 def _packed_counts(parts: list[np.ndarray]) -> pa.RecordBatch:
     """Documents by the upper 32 bits of a shingle, as rows of (range, blocks, low 16 bits, repeated places, repeats)."""
     keys, counts = np.unique(np.concatenate(parts), return_counts=True)
@@ -138,7 +152,7 @@ def _signed(common) -> object:  # noqa: ANN001
                 rows["n"].append(n)
                 m1, m2 = (s.sum(dtype=np.uint64), mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) if n else (np.uint64(0), np.uint64(0))
                 rows["digest"].append(np.array([n, m1, m2], np.uint64).tobytes())
-                rows["prefix"].append(rare[:p].tobytes())
+                rows["prefix"].append(_packed_keys(rare[:p]))
                 rows["vector"].append(np.minimum(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), FULL).astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(rows["doc_id"], pa.int64()), pa.array(rows["n"], pa.int64()), *(pa.array(rows[c], pa.binary()) for c in ("digest", "prefix", "vector"))], names=list(rows))
 
@@ -154,12 +168,12 @@ def _dealt(parts: int, common) -> object:  # noqa: ANN001
         heavy, docs = heavy[large], docs[large]
         for batch in batches:
             reps = batch.column(0).to_numpy()
-            prefixes = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            prefixes = [_keys(x) for x in batch.column(1).to_pylist()]
             if not prefixes:
                 continue
             keys, who = np.concatenate(prefixes), np.repeat(reps, [len(p) for p in prefixes])
             if len(heavy) and len(keys):
-                upper = (keys >> np.uint64(32)).astype(np.uint32)
+                upper = (keys >> np.uint64(16)).astype(np.uint32)
                 at = np.minimum(np.searchsorted(heavy, upper), len(heavy) - 1)
                 hot = np.flatnonzero(heavy[at] == upper)
                 if len(hot):  # members of very common shingles meet in all pairs of blocks
@@ -171,7 +185,7 @@ def _dealt(parts: int, common) -> object:  # noqa: ANN001
                         own = int(mixed(np.array([who[i]], np.int64).view(np.uint64))[0] % np.uint64(blocks))
                         other = np.arange(blocks)
                         pair = (np.minimum(own, other) * blocks + np.maximum(own, other)).astype(np.uint64)
-                        more_keys.append(mixed(keys[i] ^ mixed(pair + np.uint64(1))))
+                        more_keys.append(mixed(keys[i] ^ mixed(pair + np.uint64(1))) >> np.uint64(16))
                         more_who.append(np.full(blocks, who[i]))
                     keys, who = np.concatenate(more_keys), np.concatenate(more_who)
             part = (mixed(keys) % np.uint64(parts)).astype(np.int64)
@@ -179,7 +193,8 @@ def _dealt(parts: int, common) -> object:  # noqa: ANN001
             keys, who, bounds = keys[order], who[order], np.searchsorted(part[order], np.arange(parts + 1))
             full = [k for k in range(parts) if bounds[k + 1] > bounds[k]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(full, pa.int32()), *(pa.array([x[bounds[k] : bounds[k + 1]].tobytes() for k in full], pa.binary()) for x in (keys, who))], names=["part", "keys", "reps"]
+                [pa.array(full, pa.int32()), pa.array([_packed_keys(keys[bounds[k] : bounds[k + 1]] << np.uint64(16)) for k in full], pa.binary()), pa.array([who[bounds[k] : bounds[k + 1]].tobytes() for k in full], pa.binary())],
+                names=["part", "keys", "reps"],
             )
 
     return deal
@@ -190,7 +205,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     more."""
     keys, reps = [], []
     for batch in batches:
-        keys += [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+        keys += [_keys(x) for x in batch.column(1).to_pylist()]
         reps += [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
     if not keys:
         return
@@ -327,36 +342,28 @@ def _candidates(across: bool):  # noqa: ANN202
     return mapper
 
 
-def _to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo = WordHashes()
-    for batch in batches:
-        ids, sets = [], []
-        for doc_id, s in _sets(batch, memo):
-            ids.append(doc_id)
-            sets.append(s.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["rep", "shingles"])
-
-
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    memo = WordHashes()
     for batch in batches:
         fine = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            fine.append(DEN * both >= NUM * (len(a) + len(b) - both))
+        for k in range(0, batch.num_rows, SLICE):
+            part = batch.slice(k, SLICE)
+            for x, y in zip(*(part.column(c).cast(pa.binary()).to_pylist() for c in (2, 3)), strict=True):
+                a, b = shingle_set(x, memo, WIDTH), shingle_set(y, memo, WIDTH)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                fine.append(DEN * both >= NUM * (len(a) + len(b) - both))
         kept = pa.array(fine, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["a", "b"])
 
 
-
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar."""
+    """The pairs (a, b) whose whole sets are similar. Texts travel to the pairs: compressed, they are smaller than
+    their sets."""
     ids = cut(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct())
     few = ids.count() <= BROADCAST_IDS
-    sets = texts.join(F.broadcast(ids) if few else ids, texts["doc_id"] == ids["rep"], "left_semi").mapInArrow(_to_sets, "rep long, shingles binary")
-    sets = cut(sets)
-    joined = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long")
+    wanted = texts.join(F.broadcast(ids) if few else ids, texts["doc_id"] == ids["rep"], "left_semi")
+    joined = pairs.join(wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    return joined.select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -366,14 +373,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one node: what one of them links with, all do. Rows without an id link with nothing and have a null component_id.
     No rows give no rows. Other columns are ignored."""
     spark = docs.sparkSession
+    modest_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     common = spark.sparkContext.broadcast(common_shingles(texts, docs.count()))
     signed = cut(texts.mapInArrow(_signed(common), "doc_id long, n long, digest binary, prefix binary, vector binary"))
     linkable = signed.where("doc_id IS NOT NULL AND n > 0")
-    reps = linkable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("vector").alias("vector"))
-    reps = cut(reps)
+    by_class = linkable.groupBy("digest")
+    reps = cut(by_class.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("vector").alias("vector")))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = reps.select("rep", "prefix").mapInArrow(_dealt(parts, common), "part int, keys binary, reps binary")
+    prefixes = by_class.agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")).select("rep", "prefix")
+    dealt = prefixes.mapInArrow(_dealt(parts, common), "part int, keys binary, reps binary")
     members = dealt.repartition("part").mapInArrow(_blocks, "block long, rep long")
     members = cut(members.join(reps.select("rep", "n", "vector"), "rep").select("block", "rep", "n", "vector"))
 
