@@ -308,3 +308,15 @@ def lagged_fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray, penalties: np.nda
         losses.append([float(np.mean((y[held] - a - x[held] @ c) ** 2)) if part is None else mapped_error(a + x[held] @ c, part) for a, c in fits])
     best = int(np.argmin(np.mean(losses, 0))) if losses else 0
     return float(penalties[best]), *multi_ridge(x, y, penalties[best : best + 1])[0]
+
+
+def selected_share(x: np.ndarray, months: np.ndarray, shares: tuple[float, ...] = (0.5, 0.7, 0.9, 0.95), blocks: int = 5) -> float:
+    """The share of variance whose truncated covariance of the other blocks is nearest to the held block's."""
+    known, errors = np.unique(months), []
+    for part in np.array_split(known, blocks):
+        held = np.isin(months, part)
+        if held.sum() < 2 or (~held).sum() < 2:
+            return shares[-1]
+        target, train = np.cov(x[held].T), np.cov(x[~held].T)
+        errors.append([float(np.mean((v @ (v.T @ train @ v) @ v.T - target) ** 2)) for v in (principal(train, s) for s in shares)])
+    return shares[int(np.argmin(np.mean(errors, 0)))]

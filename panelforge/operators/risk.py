@@ -122,3 +122,39 @@ def projected(b: DataFrame, projection: np.ndarray) -> DataFrame:
     """Exposures times a fixed matrix, bounded by the number of factors."""
     columns = [F.aggregate(F.zip_with("b", F.array(*[F.lit(float(v)) for v in col]), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x) for col in projection.T]
     return b.withColumn("b", F.array(*columns))
+
+
+def section_penalty_scores(days: DataFrame, b: DataFrame, penalties: list[float], folds: int = 5, value: str = "ret_exc") -> DataFrame:
+    """(date, penalty, sse, n): each day's entities are held out by id modulo `folds`."""
+    joined = on_formation(days, b.select("eom_ret", "id", "b"), ["id"]).select("date", "id", "b", F.col(value).alias("y"))
+
+    def score(frame: pd.DataFrame) -> pd.DataFrame:
+        x, y, fold = np.stack(frame["b"].to_numpy()), frame["y"].to_numpy(float), frame["id"].to_numpy() % folds
+        sse, n = np.zeros(len(penalties)), 0
+        for k in range(folds):
+            held = fold == k
+            if held.any() and (~held).sum() > 1:
+                n += int(held.sum())
+                sse += [float(((y[held] - x[held] @ linalg.section_ridge(x[~held], y[~held], p)) ** 2).sum()) for p in penalties]
+        return pd.DataFrame({"date": frame["date"].iloc[0], "penalty": penalties, "sse": sse, "n": n})
+
+    return joined.groupBy("date").applyInPandas(score, "date date, penalty double, sse double, n long")
+
+
+def chosen_section_penalties(scores: DataFrame, years: list[int], months: int = 120) -> DataFrame:
+    """(year, penalty): for each year, the least mean squared error over the last scored day of each of the months
+    before it; ties go to the smallest."""
+    day = scores.where("n > 0").withColumn("eom", F.last_day("date"))
+    last = day.groupBy("eom").agg(F.max("date").alias("date"))
+    wanted = scores.sparkSession.createDataFrame([(y,) for y in years], "year int")
+    known = day.join(F.broadcast(last), ["eom", "date"]).join(F.broadcast(wanted), F.year("eom") < F.col("year"))  # a row a month and penalty
+    recent = known.withColumn("age", F.dense_rank().over(Window.partitionBy("year").orderBy(F.desc("eom")))).where(F.col("age") <= months)
+    total = recent.groupBy("year", "penalty").agg((F.sum("sse") / F.sum("n")).alias("mse"))
+    return total.groupBy("year").agg(F.min_by("penalty", F.struct("mse", "penalty")).alias("penalty"))
+
+
+def drawdown_states(proxy: DataFrame) -> DataFrame:
+    """(date, ret, drawdown): what was known of the market's drawdown before each day. A row a trading date."""
+    from .evaluation import drawdowns
+
+    return drawdowns(proxy, order="date").select("date", "ret", F.col("drawdown_before").alias("drawdown"))

@@ -514,3 +514,37 @@ SELECT id, eom, round(w * CASE WHEN signal < 0 THEN 0.5 ELSE 1 END, 8) AS w FROM
 def al11(spark: SparkSession, sf: str) -> DataFrame:
     d = demo.days(spark, sf).withColumn("ret_exc", F.col("ret_exc") * F.when(F.col("id") % 2 == 0, 1.0).otherwise(-0.5))
     return allocation.timed(decile_weights(spark, sf), risk.equal_weight_proxy(d)).withColumn("w", r("w"))
+
+
+# --- iterative and dense ones, which SQL can't express ---------------------------------------------------------------
+
+
+@query("fc5_walk_forward_ridge")
+def fc5(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import ridge
+
+    keys = ["id", "eom", "eom_ret", "excntry", "label"]
+    return ridge.walk_forward(ranks.ranked_panel(demo.monthly(spark, sf).select(*keys, *FEATURES), FEATURES).persist(), FEATURES, [1996, 1997, 1998])
+
+
+@query("rk24_section_penalties")
+def rk24(spark: SparkSession, sf: str) -> DataFrame:
+    days = demo.days(spark, sf).where("date >= DATE '1997-01-01'")
+    scores = risk.section_penalty_scores(days, rk1(spark, sf), [1e-4, 1e-2, 1.0])
+    return risk.chosen_section_penalties(scores, [1998, 1999])
+
+
+@query("rk17_drawdown_states", f"WITH {DAYS_SQL}, px AS (SELECT date, avg(ret_exc * ret_exc) - 0.0001 AS ret FROM days GROUP BY date), l AS (SELECT date, ret, product(1 + ret) OVER (ORDER BY date) AS level FROM px), p AS (SELECT *, greatest(1, max(level) OVER (ORDER BY date)) AS peak FROM l) SELECT date, round(ret, 8) AS ret, round(coalesce(lag(1 - level / peak) OVER (ORDER BY date), 0), 8) AS drawdown FROM p")
+def rk17_states(spark: SparkSession, sf: str) -> DataFrame:
+    d = demo.days(spark, sf).withColumn("ret_exc", F.col("ret_exc") * F.col("ret_exc"))
+    proxy = risk.equal_weight_proxy(d).withColumn("ret", F.col("ret") - 0.0001)
+    return risk.drawdown_states(proxy).select("date", r("ret").alias("ret"), r("drawdown").alias("drawdown"))
+
+
+@query("flagship_weights")
+def flagship_weights(spark: SparkSession, sf: str) -> DataFrame:
+    from . import flagship
+
+    p = demo.monthly(spark, sf).where("eom >= DATE '1996-06-30'").persist()
+    s = flagship.Settings(correlation_half_life=120, variance_half_life=60, history_days=400, training_months=24, seed=10, least_residuals=20, residual_window=200, min_obs=2, position_penalties=(0.0, 0.1, 1.0))
+    return flagship.weights(p, FEATURES, demo.days(spark, sf).where("date >= DATE '1996-07-01'"), s)

@@ -224,9 +224,9 @@ def test_store(spark, tmp_path):
 
 
 def test_flagship(spark):
-    p = demo.monthly(spark, SF).persist()
+    p = demo.monthly(spark, SF).where("eom >= DATE '1997-01-31'").persist()
     s = flagship.Settings(correlation_half_life=100, variance_half_life=40, history_days=300, training_months=24, seed=10, least_residuals=20, residual_window=200, min_obs=2, position_penalties=(0.0, 0.1, 1.0))
-    days = demo.days(spark, SF)
+    days = demo.days(spark, SF).where("date >= DATE '1997-02-01'")
     out = flagship.weights(p, demo.FEATURES, days, s).toPandas()
     test = p.where("test").select("id", "eom").toPandas()
     assert len(out) and len(out.merge(test, on=["id", "eom"])) == len(out) and np.isfinite(out["w"]).all()
@@ -236,3 +236,11 @@ def test_flagship(spark):
     again = flagship.weights(early, demo.FEATURES, days.where(F.col("date") <= cut), s).toPandas()
     both = out[out["eom"] <= cut].merge(again, on=["id", "eom"])
     assert len(both) == len(again) > 0 and np.allclose(both["w_x"], both["w_y"])
+
+
+def test_penalty_choice(spark):
+    rows = [(dt.date(2020, m, 27 + k), p, float((p - 1) ** 2 * m + k), 10) for m in range(1, 13) for k in (0, 1) for p in (0.5, 1.0, 2.0)]
+    scores = spark.createDataFrame(rows, "date date, penalty double, sse double, n long")
+    assert [tuple(r) for r in risk.chosen_section_penalties(scores, [2020, 2021]).collect()] == [(2021, 1.0)]
+    x = np.random.default_rng(3).normal(size=(60, 4)) * [3, 1, 0.1, 0.1]
+    assert linalg.selected_share(x, np.repeat(np.arange(10), 6)) in (0.5, 0.7, 0.9, 0.95)
