@@ -26,14 +26,15 @@ from .common import BROADCAST_IDS, WordHashes, cut, mixed, modest_batches, shing
 from .components import components
 
 WIDTH, NUM, DEN = 5, 4, 5  # words of a shingle; similarity 4/5
-GROUPS = 64
+LEAST_GROUPS, MOST_GROUPS = 64, 4096  # of a count vector: the power of two next to the set's size
 RANGES, RANGE_BITS = 1024, 22  # of 32-bit shingle keys whose documents are counted
 FLUSH = 1_000_000
-HEAVY_DOCS, HEAVY_SHARE = 16, 1e-4  # a shingle in that many documents, and in that share of them, goes last
+COMMON_DOCS, COMMON_KEYS = 4, 1_000_000  # shingles in that many documents go last, rarest first; the list's bound
 BLOCK = 8192  # members of a block of one very common shingle
 LEAF = 16
 SLICE = 256  # texts that are Python objects at once
-FULL = np.iinfo(np.uint16).max
+FULL = np.iinfo(np.uint8).max
+ROUNDS = 2  # with one partner for each point and other component, before all pairs of components
 
 
 def _sets(batch: pa.RecordBatch, memo: WordHashes) -> Iterator[tuple[int, np.ndarray]]:
@@ -114,16 +115,52 @@ def _add_counts(least: int):  # noqa: ANN202
     return add
 
 
-def common_shingles(texts: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """(upper 32 bits, documents) of the shingles that many documents hold, counted over all documents.
+def _packed_list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, docs = (batch.column(k).to_numpy().astype(kind).tobytes() for k, kind in ((0, np.uint32), (1, np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array([keys], pa.binary()), pa.array([docs], pa.binary())], names=["keys", "docs"])
+
+
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(upper 32 bits, documents) of the shingles that several documents hold, counted over all documents.
 
-    The threshold is a share of the documents, so the list is bounded by the mean number of shingles of a text over
-    that share, whatever the number of documents."""
-    least = max(HEAVY_DOCS, int(np.ceil(HEAVY_SHARE * n_docs)))
+    The list orders the prefixes and nothing else, so its length may be bounded: of more than COMMON_KEYS, only those in
+    the most documents are taken, by a threshold from the histogram of counts."""
     packed = texts.mapInArrow(_count_locally, "part int, blocks binary, low binary, at binary, more binary")
-    got = packed.repartition("part").sortWithinPartitions("part").mapInArrow(_add_counts(least), "key long, docs long").toPandas()
-    got = got.sort_values("key")
-    return got["key"].to_numpy(np.uint32), got["docs"].to_numpy(np.int64)
+    counts = cut(packed.repartition("part").sortWithinPartitions("part").mapInArrow(_add_counts(COMMON_DOCS), "key long, docs long"))
+    steps = counts.groupBy(F.floor(F.log2("docs") * 8).alias("b")).agg(F.count("*").alias("n"), F.min("docs").alias("least")).orderBy(F.desc("b")).collect()  # some hundred rows
+    total, least = 0, None
+    for r in steps:
+        total += r["n"]
+        if total > COMMON_KEYS:
+            break
+        least = r["least"]
+    chosen = counts.where(F.col("docs") >= (least if least is not None else 1 << 62))
+    got = chosen.mapInArrow(_packed_list, "keys binary, docs binary").collect()  # 12 bytes a key
+    keys, docs = (np.concatenate([np.frombuffer(r[k], kind) for r in got] or [np.empty(0, kind)]) for k, kind in ((0, np.uint32), (1, np.int64)))
+    order = np.argsort(keys, kind="stable")
+    return keys[order], docs[order]
+
+
+def groups_for(n: int) -> int:
+    return min(MOST_GROUPS, max(LEAST_GROUPS, 1 << (n - 1).bit_length())) if n else LEAST_GROUPS
+
+
+def count_vector(s: np.ndarray) -> bytes:
+    """How many shingles fall into each group of their lowest bits; FULL where that many or more do."""
+    g = groups_for(len(s))
+    return np.minimum(np.bincount((s & np.uint64(g - 1)).astype(np.int64), minlength=g), FULL).astype(np.uint8).tobytes()
+
+
+def same_groups(vectors: list[bytes]) -> np.ndarray:
+    """The vectors with as many groups as the shortest has: groups whose low bits agree are added up."""
+    g = min(map(len, vectors))
+    rows = []
+    for v in vectors:
+        x = np.frombuffer(v, np.uint8).astype(np.int64)
+        x[x == FULL] = 1 << 40  # cut off, so no bound
+        rows.append(x.reshape(-1, g).sum(0))
+    return np.stack(rows)
 
 
 def _signed(common) -> object:  # noqa: ANN001
@@ -153,7 +190,7 @@ def _signed(common) -> object:  # noqa: ANN001
                 m1, m2 = (s.sum(dtype=np.uint64), mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) if n else (np.uint64(0), np.uint64(0))
                 rows["digest"].append(np.array([n, m1, m2], np.uint64).tobytes())
                 rows["prefix"].append(_packed_keys(rare[:p]))
-                rows["vector"].append(np.minimum(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), FULL).astype(np.uint16).tobytes())
+                rows["vector"].append(count_vector(s))
             yield pa.RecordBatch.from_arrays([pa.array(rows["doc_id"], pa.int64()), pa.array(rows["n"], pa.int64()), *(pa.array(rows[c], pa.binary()) for c in ("digest", "prefix", "vector"))], names=list(rows))
 
     return sign
@@ -259,39 +296,56 @@ class RTree:
         self.least = np.array([sizes[x].min() for x in self.leaves])
         self.most = np.array([sizes[x].max() for x in self.leaves])
 
-    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(i, j, share): point pairs that the bounds admit, with the bound on their overlap over the needed one."""
-        for k, leaf in enumerate(self.leaves):
-            bound = np.minimum(self.upper[k:], self.upper[k]).sum(1)
-            near = (bound >= _least_overlap(self.least[k:] + self.least[k])) & (self.least[k:] * NUM <= self.most[k] * DEN) & (self.least[k] * NUM <= self.most[k:] * DEN)
-            for o in np.flatnonzero(near) + k:
-                other = self.leaves[o]
-                over = np.minimum(self.vectors[leaf][:, None, :], self.vectors[other][None, :, :]).sum(2)
-                a, b = self.sizes[leaf][:, None], self.sizes[other][None, :]
-                need = _least_overlap(a + b)
-                fine = (over >= need) & (NUM * np.maximum(a, b) <= DEN * np.minimum(a, b))
-                if o == k:
-                    fine &= np.arange(len(leaf))[:, None] < np.arange(len(other))[None, :]
-                i, j = np.nonzero(fine)
-                if len(i):
-                    yield leaf[i], other[j], (over / need)[i, j]
-
-
-def _promising(reps: np.ndarray, tree: RTree) -> tuple[np.ndarray, np.ndarray]:
-    """For each point the admitted partner before it with the largest share."""
-    best, partner = np.zeros(len(reps)), np.full(len(reps), -1)
-    for i, j, share in tree.pairs():
-        lo, hi = np.minimum(i, j), np.maximum(i, j)
-        order = np.lexsort((-lo, share))  # the last write wins
-        lo, hi, share = lo[order], hi[order], share[order]
-        better = share > best[hi]
-        best[hi[better]], partner[hi[better]] = share[better], lo[better]
-    got = np.flatnonzero(partner >= 0)
-    return reps[partner[got]], reps[got]
-
-
-def _candidates(across: bool):  # noqa: ANN202
-    """Mapper over sorted (block, rep, n, vector, root): pairs to verify. across: all admitted pairs of two roots."""
+    def _near(self, k: int, others: np.ndarray) -> np.ndarray:
+        """Leaves among others that the bounds admit for leaf k."""
+        bound = np.minimum(self.upper[others], self.upper[k]).sum(1)
+        fits = (self.least[others] * NUM <= self.most[k] * DEN) & (self.least[k] * NUM <= self.most[others] * DEN)
+        return others[(bound >= _least_overlap(self.least[others] + self.least[k])) & fits]
+
+    def _points(self, k: int, o: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        leaf, other = self.leaves[k], self.leaves[o]
+        over = np.minimum(self.vectors[leaf][:, None, :], self.vectors[other][None, :, :]).sum(2)
+        a, b = self.sizes[leaf][:, None], self.sizes[other][None, :]
+        need = _least_overlap(a + b)
+        fine = (over >= need) & (NUM * np.maximum(a, b) <= DEN * np.minimum(a, b))
+        if o == k:
+            fine &= np.arange(len(leaf))[:, None] < np.arange(len(other))[None, :]
+        i, j = np.nonzero(fine)
+        return leaf[i], other[j], (over / need)[i, j]
+
+    def pairs(self, roots: np.ndarray | None = None, reach: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(i, j, share): point pairs that the bounds admit, with the bound on their overlap over the needed one. With
+        roots, only pairs of different ones; with reach, only with that many leaves after a point's own."""
+        count = len(self.leaves)
+        one = None if roots is None else np.array([roots[x[0]] if (roots[x] == roots[x[0]]).all() else -1 for x in self.leaves])
+        for k in range(count):
+            others = np.arange(k, count if reach is None else min(count, k + 1 + reach))
+            if one is not None and one[k] != -1:
+                others = others[one[others] != one[k]]
+            if len(others):
+                for o in self._near(k, others):
+                    i, j, share = self._points(k, o)
+                    if roots is not None:
+                        apart = roots[i] != roots[j]
+                        i, j, share = i[apart], j[apart], share[apart]
+                    if len(i):
+                        yield i, j, share
+
+
+def _best(n: int, key: np.ndarray, i: np.ndarray, j: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (i, j), the one with the largest share for each (i, key)."""
+    order = np.lexsort((j, -share, key, i))
+    i, j, key = i[order], j[order], key[order]
+    first = np.ones(len(i), bool)
+    first[1:] = (i[1:] != i[:-1]) | (key[1:] != key[:-1])
+    return i[first], j[first]
+
+
+def _candidates(turn: int):  # noqa: ANN202
+    """Mapper over sorted (block, rep, n, vector, root): pairs to verify.
+
+    Turn 0: each point's most promising partner among the points of its leaf and the next one. Turns up to ROUNDS: for
+    each point, the most promising partners in other components. After that: all admitted pairs of components."""
 
     def search(block: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         reps = np.array([x[1] for x in block])
@@ -299,18 +353,19 @@ def _candidates(across: bool):  # noqa: ANN202
         if len(keep) < 2:
             return
         reps, roots = reps[keep], np.array([x[4] for x in block])[keep]
-        if across and (roots == roots[0]).all():
+        if turn and (roots == roots[0]).all():
             return
-        vectors = np.frombuffer(b"".join(block[i][3] for i in keep), np.uint16).reshape(len(keep), GROUPS).astype(np.int64)
-        vectors[vectors == FULL] = 1 << 40  # cut off, so no bound
-        tree = RTree(vectors, np.array([block[i][2] for i in keep]))
-        if not across:
-            yield _promising(reps, tree)
+        tree = RTree(same_groups([block[i][3] for i in keep]), np.array([block[i][2] for i in keep]))
+        found = list(tree.pairs(None, 1) if not turn else tree.pairs(roots))
+        if not found:
             return
-        for i, j, _ in tree.pairs():
-            apart = roots[i] != roots[j]
-            if apart.any():
-                yield np.minimum(reps[i], reps[j])[apart], np.maximum(reps[i], reps[j])[apart]
+        i, j, share = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not turn:
+            i, j = _best(len(reps), np.zeros(len(i), int), np.maximum(i, j), np.minimum(i, j), share)
+        elif turn <= ROUNDS:
+            i, j, share = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([share, share])
+            i, j = _best(len(reps), np.zeros(len(i), int) if turn == 1 else roots[j], i, j, share)
+        yield np.minimum(reps[i], reps[j]), np.maximum(reps[i], reps[j])
 
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: list[tuple] = []
@@ -375,7 +430,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     modest_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    common = spark.sparkContext.broadcast(common_shingles(texts, docs.count()))
+    common = spark.sparkContext.broadcast(common_shingles(texts))
     signed = cut(texts.mapInArrow(_signed(common), "doc_id long, n long, digest binary, prefix binary, vector binary"))
     linkable = signed.where("doc_id IS NOT NULL AND n > 0")
     by_class = linkable.groupBy("digest")
@@ -386,18 +441,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = dealt.repartition("part").mapInArrow(_blocks, "block long, rep long")
     members = cut(members.join(reps.select("rep", "n", "vector"), "rep").select("block", "rep", "n", "vector"))
 
-    def candidates(rows: DataFrame, across: bool) -> DataFrame:
-        ordered = rows.select("block", "rep", "n", "vector", "root").repartition("block").sortWithinPartitions("block", "n", "rep")
-        return cut(ordered.mapInArrow(_candidates(across), "a long, b long").where("a <> b").distinct())
-
-    links = cut(_verified(candidates(members.withColumn("root", F.col("rep")), False), texts))
-    roots = components(links)
-    rooted = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    more = candidates(rooted, True)
-    if not more.isEmpty():
-        further = cut(_verified(more, texts))
-        if not further.isEmpty():
-            roots = components(links.union(further))
+    links, tried = None, None
+    roots = spark.createDataFrame([], "node long, root long")
+    for turn in range(ROUNDS + 2):
+        rooted = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        ordered = rooted.select("block", "rep", "n", "vector", "root").repartition("block").sortWithinPartitions("block", "n", "rep")
+        pairs = ordered.mapInArrow(_candidates(turn), "a long, b long").where("a <> b").distinct()
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            continue
+        tried = pairs if tried is None else tried.union(pairs)
+        found = cut(_verified(pairs, texts))
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            roots = components(links)
     same_id = signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("d"), F.max("digest").alias("e")).where("d <> e")
     classes = reps.join(roots, reps["rep"] == roots["node"], "left").select("digest", F.coalesce("root", "rep").alias("root"))
     if not same_id.isEmpty():  # ids that stand for several texts tie the classes of these together
