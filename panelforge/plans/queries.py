@@ -545,6 +545,5 @@ def rk17_states(spark: SparkSession, sf: str) -> DataFrame:
 def flagship_weights(spark: SparkSession, sf: str) -> DataFrame:
     from . import flagship
 
-    p = demo.monthly(spark, sf).where("eom >= DATE '1996-06-30'").persist()
-    s = flagship.Settings(correlation_half_life=120, variance_half_life=60, history_days=400, training_months=24, seed=10, least_residuals=20, residual_window=200, min_obs=2, position_penalties=(0.0, 0.1, 1.0))
-    return flagship.weights(p, FEATURES, demo.days(spark, sf).where("date >= DATE '1996-07-01'"), s)
+    s = flagship.Settings(correlation_half_life=120, variance_half_life=60, seed=10, least_residuals=20, min_obs=2)
+    return flagship.weights(demo.monthly(spark, sf).persist(), FEATURES, demo.days(spark, sf), s)

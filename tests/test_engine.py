@@ -244,3 +244,13 @@ def test_penalty_choice(spark):
     assert [tuple(r) for r in risk.chosen_section_penalties(scores, [2020, 2021]).collect()] == [(2021, 1.0)]
     x = np.random.default_rng(3).normal(size=(60, 4)) * [3, 1, 0.1, 0.1]
     assert linalg.selected_share(x, np.repeat(np.arange(10), 6)) in (0.5, 0.7, 0.9, 0.95)
+
+
+def test_flagship_query_is_whole(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(flagship, "weights", lambda p, features, days, s: seen.update(panel=p, days=days, s=s) or p)
+    queries.flagship_weights(spark, SF)
+    assert seen["panel"].count() == demo.monthly(spark, SF).count() and seen["days"].count() == demo.days(spark, SF).count()
+    s, full = seen["s"], flagship.Settings()
+    for name in ("history_days", "training_months", "residual_window", "position_penalties"):
+        assert getattr(s, name) == getattr(full, name), name
