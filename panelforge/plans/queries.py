@@ -519,12 +519,18 @@ def al11(spark: SparkSession, sf: str) -> DataFrame:
 # --- iterative and dense ones, which SQL can't express ---------------------------------------------------------------
 
 
+def forecast_years(rows: DataFrame, date: str = "eom") -> list[int]:
+    """All forecast years of the rows' months."""
+    return [y for (y,) in rows.select(forecast_year(F.col(date)).alias("year")).distinct().orderBy("year").collect()]
+
+
 @query("fc5_walk_forward_ridge")
 def fc5(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators import ridge
 
     keys = ["id", "eom", "eom_ret", "excntry", "label"]
-    return ridge.walk_forward(ranks.ranked_panel(demo.monthly(spark, sf).select(*keys, *FEATURES), FEATURES).persist(), FEATURES, [1996, 1997, 1998])
+    p = ranks.ranked_panel(demo.monthly(spark, sf).select(*keys, *FEATURES), FEATURES).persist()
+    return ridge.walk_forward(p, FEATURES, forecast_years(p))
 
 
 @query("rk24_section_penalties")

@@ -254,3 +254,13 @@ def test_flagship_query_is_whole(spark, monkeypatch):
     s, full = seen["s"], flagship.Settings()
     for name in ("history_days", "training_months", "residual_window", "position_penalties"):
         assert getattr(s, name) == getattr(full, name), name
+
+
+def test_walk_forward_query_covers_the_calendar(spark):
+    got = queries.QUERIES["fc5_walk_forward_ridge"](spark, SF).toPandas()
+    p = demo.monthly(spark, SF).select("id", "eom", "eom_ret", "label").toPandas()
+    year = p["eom"].map(lambda d: d.year + (d.month == 12))
+    first = {y: (p["label"].notna() & (p["eom_ret"] <= dt.date(y - 1, 12, 31))).any() for y in year.unique()}
+    want = p[year.map(first)]
+    assert len(got) == len(want) == len(got.merge(want, on=["id", "eom"])) and got["pred"].notna().all()
+    assert set(p.loc[p["eom"] >= dt.date(1998, 1, 1), "eom"]) <= set(got["eom"])
