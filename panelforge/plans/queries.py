@@ -535,9 +535,8 @@ def fc5(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("rk24_section_penalties")
 def rk24(spark: SparkSession, sf: str) -> DataFrame:
-    days = demo.days(spark, sf).where("date >= DATE '1997-01-01'")
-    scores = risk.section_penalty_scores(days, rk1(spark, sf), [1e-4, 1e-2, 1.0])
-    return risk.chosen_section_penalties(scores, [1998, 1999])
+    days = demo.days(spark, sf).persist()
+    return risk.searched_section_penalties(days, rk1(spark, sf), forecast_years(days, "date"))
 
 
 @query("rk17_drawdown_states", f"WITH {DAYS_SQL}, px AS (SELECT date, avg(ret_exc * ret_exc) - 0.0001 AS ret FROM days GROUP BY date), l AS (SELECT date, ret, product(1 + ret) OVER (ORDER BY date) AS level FROM px), p AS (SELECT *, greatest(1, max(level) OVER (ORDER BY date)) AS peak FROM l) SELECT date, round(ret, 8) AS ret, round(coalesce(lag(1 - level / peak) OVER (ORDER BY date), 0), 8) AS drawdown FROM p")

@@ -264,3 +264,31 @@ def test_walk_forward_query_covers_the_calendar(spark):
     want = p[year.map(first)]
     assert len(got) == len(want) == len(got.merge(want, on=["id", "eom"])) and got["pred"].notna().all()
     assert set(p.loc[p["eom"] >= dt.date(1998, 1, 1), "eom"]) <= set(got["eom"])
+
+
+def test_section_penalty_search(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r.year: r.penalty for r in queries.QUERIES["rk24_section_penalties"](spark, sf).collect()}
+    assert sorted(got) == list(range(1995, 2002)) and got[1995] == 1e-4  # nothing is known before the first year
+    b = {(r.id, r.eom_ret): np.array(r.b) for r in queries.rk1(spark, sf).collect()}
+    day = demo.days(spark, sf).toPandas()
+    day["eom"] = (pd.to_datetime(day["date"]) + pd.offsets.MonthEnd(0)).dt.date
+    day = day[[k in b for k in zip(day["id"], day["eom"], strict=True)]]
+    last = {}
+    for d, part in day.groupby("date"):
+        if len(part) > 1:
+            last[part["eom"].iloc[0]] = part  # dates ascend
+
+    def loss(year, p):
+        out = []
+        for e, part in last.items():
+            if e.year < year:
+                x, y, fold = np.stack([b[i, e] for i in part["id"]]), part["ret_exc"].to_numpy(), part["id"].to_numpy() % 5
+                held = [fold == k for k in range(5) if (fold == k).any() and (fold != k).sum() > 1]
+                sse = sum(((y[h] - x[h] @ linalg.section_ridge(x[~h], y[~h], p)) ** 2).sum() for h in held)
+                out.append(sse / sum(h.sum() for h in held))
+        return np.mean(out)
+
+    for year in (1996, 1998, 2001):
+        mine = loss(year, got[year])
+        assert all(mine <= loss(year, p) * (1 + 1e-9) for p in (1e-4, 1e-3, 1e-2, 0.1, 0.3, 1.0, 10.0, 1e3, 1e5, got[year] * 0.9, got[year] * 1.1))
