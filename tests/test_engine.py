@@ -292,3 +292,34 @@ def test_section_penalty_search(spark):
     for year in (1996, 1998, 2001):
         mine = loss(year, got[year])
         assert all(mine <= loss(year, p) * (1 + 1e-9) for p in (1e-4, 1e-3, 1e-2, 0.1, 0.3, 1.0, 10.0, 1e3, 1e5, got[year] * 0.9, got[year] * 1.1))
+
+
+def test_whole_vector_moments(spark):
+    e = demo.table(spark, SF, "embeddings").select("vec_id", "embedding").toPandas().sort_values("vec_id")
+    x = np.stack(e["embedding"].to_numpy()).astype(float)
+    n, k = x.shape
+    ages = np.arange(n, 0, -1.0)
+
+    emp, bear = np.cov(x.T, ddof=0), (ages % 20) / 100 >= 0.1 - 1e-12
+    down = x[:, 0] < x[:, 1]
+    c = x - x.mean(0)
+    trace, squares, fourth = np.trace(emp), (emp**2).sum(), ((c**2).sum(1) ** 2).mean()
+    alpha = min(1.0, max(0.0, ((fourth - squares) / (k * n)) / ((squares - trace**2 / k) / k)))
+    w = lambda h, a=ages, y=x: linalg.weighted_covariance(y, 0.5 ** (a / h))
+    want = {
+        "rk6_weighted_covariance": w(84),
+        "rk7_factor_covariance": linalg.with_variances(w(504), w(84)),
+        "rk9_ledoit_wolf": (1 - alpha) * emp + alpha * trace / k * np.eye(k),
+        "rk10_empirical_covariance": emp,
+        "rk13_hyperbolic_variance": linalg.with_variances(w(504), linalg.weighted_covariance(x, 1 / (1 + ages / 42))),
+        "rk14_hyperbolic_covariance": linalg.with_variances(linalg.weighted_covariance(x, (1 + ages / (504 / (2**0.5 - 1))) ** -2.0), w(84)),
+        "rk17_drawdown_conditioned": linalg.with_variances(w(504, ages[bear], x[bear]), w(84, ages[bear], x[bear])),
+        "rk18_downside_semimoment": np.minimum(x, 0).T @ np.minimum(x, 0) / n,
+        "rk19_conditional_covariance": np.cov(x[down].T, ddof=0),
+    }
+    for name, m in want.items():
+        got = queries.QUERIES[f"{name}_whole"](spark, SF).toPandas()
+        got = got[got["state"] == "negative"] if "state" in got else got
+        assert len(got) == k * (k + 1) // 2 == 2080, name
+        assert np.allclose(got["v"], m[got["i"], got["j"]], atol=2e-9), name
+        assert "intensity" not in got or np.isclose(got["intensity"].iloc[0], alpha, atol=1e-8)
