@@ -284,6 +284,26 @@ def cv4(spark: SparkSession, sf: str) -> DataFrame:
     return demo.cells(spark, sf).select("eom").distinct().withColumn("fold", folds.capped_fold(F.col("eom"), _FIRST, _LAST, width=12))
 
 
+def calendar(rows: DataFrame) -> tuple[int, int]:
+    """First and last month number."""
+    return rows.agg(F.min(month_number(F.col("eom"))), F.max(month_number(F.col("eom")))).first()
+
+
+_CALENDAR_SQL = f"WITH {CELLS_SQL}, m AS (SELECT DISTINCT eom, year(eom) * 12 + month(eom) - 1 AS m FROM cells), s AS (SELECT min(m) AS first, max(m) AS last FROM m)"
+
+
+@query("cv1_panel_calendar_folds", f"{_CALENDAR_SQL} SELECT eom, CAST(least(4, (m - first) * 5 // greatest(1, last - first)) AS INTEGER) AS fold FROM m, s")
+def cv1_panel(spark: SparkSession, sf: str) -> DataFrame:
+    months = demo.cells(spark, sf).select("eom").distinct().persist()
+    return months.withColumn("fold", folds.calendar_fold(F.col("eom"), *calendar(months)))
+
+
+@query("cv4_panel_capped_folds", f"{_CALENDAR_SQL}, b AS (SELECT *, CAST(greatest(5, ceil((last - first + 1) / 12.0)) AS INTEGER) AS blocks FROM s) SELECT eom, CAST(least(blocks - 1, (m - first) * blocks // (last - first + 1)) AS INTEGER) AS fold FROM m, b")
+def cv4_panel(spark: SparkSession, sf: str) -> DataFrame:
+    months = demo.cells(spark, sf).select("eom").distinct().persist()
+    return months.withColumn("fold", folds.capped_fold(F.col("eom"), *calendar(months), width=12))
+
+
 @query("cv5_contiguous_blocks", f"WITH {CELLS_SQL} SELECT eom, CAST(ntile(5) OVER (ORDER BY eom) - 1 AS INTEGER) AS block FROM (SELECT DISTINCT eom FROM cells)")
 def cv5(spark: SparkSession, sf: str) -> DataFrame:
     return folds.contiguous_blocks(demo.cells(spark, sf).select("eom").distinct())

@@ -323,3 +323,14 @@ def test_whole_vector_moments(spark):
         assert len(got) == k * (k + 1) // 2 == 2080, name
         assert np.allclose(got["v"], m[got["i"], got["j"]], atol=2e-9), name
         assert "intensity" not in got or np.isclose(got["intensity"].iloc[0], alpha, atol=1e-8)
+
+
+def test_panel_calendar_folds(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{SF}/lineitem.parquet'")
+    for name, n in (("cv1_panel_calendar_folds", 5), ("cv4_panel_capped_folds", 7)):
+        got = {(r.eom, r.fold) for r in queries.QUERIES[name](spark, SF).collect()}
+        counts = [sum(f == k for _, f in got) for k in range(n)]
+        assert len(got) == sum(counts) == 83 and max(counts) - min(counts) <= 2, counts
+        assert got == set(con.execute(queries.ORACLES[name]).fetchall())
