@@ -24,8 +24,8 @@ from .common import cut, modest_batches, table
 TRAINING_ROWS = 4_000
 BUCKETS = 1 << 14  # of the classifier's features
 TEMPERATURE = 0.7  # default targets: shares to this power
-FLOOR, CEILING = 0.0, 8.0
-STEPS, TOLERANCE = 25, 2e-3
+FLOOR, CEILING = 0.0, float("inf")
+STEPS, TOLERANCE = 200, 2e-3  # the tolerance is relative to each domain's target
 MEMO = 120_000
 WORD = re.compile(r"\w+")
 
@@ -140,6 +140,10 @@ class Mixture:
     def __init__(self, domains: list[str], targets: np.ndarray, reached: np.ndarray, steps: list[np.ndarray], floor: float, ceiling: float) -> None:
         self.domains, self.targets, self.reached, self.steps, self.floor, self.ceiling = domains, targets, reached, steps, floor, ceiling
 
+    def totals(self) -> list[tuple[str, float, float]]:
+        """(domain, target tokens, expected tokens): a domain that differs was missed."""
+        return [(d, float(t), float(r)) for d, t, r in zip(self.domains, self.targets, self.reached, strict=True)]
+
     def rate(self, posteriors: Column) -> Column:
         return _rate([posteriors[d] for d in range(len(self.domains))], self.steps, self.floor, self.ceiling)
 
@@ -178,7 +182,7 @@ def fitted(members: DataFrame, domains: list[str], weights: dict[str, float] | N
     for _ in range(steps + 1):
         residual = reached - targets
         before, loss = loss, float(residual @ weigh @ residual)
-        if np.abs(residual).max() <= TOLERANCE * targets.sum() or loss > before * (1 - 1e-4) or len(history) == steps:
+        if (np.abs(residual) <= TOLERANCE * np.maximum(targets, 1.0)).all() or loss > before * (1 - 1e-4) or len(history) == steps:
             break
         history.append(weigh @ residual)
         row = members.withColumn("r", _rate(p, history, floor, ceiling)).agg(*[F.sum(F.col("r") * t * p[d]).alias(f"m{d}") for d in range(k)]).first()

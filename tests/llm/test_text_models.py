@@ -119,3 +119,13 @@ def test_mixing_reaches_targets(spark, docs):
     assert mixing.rates(odd, model).count() == docs.count()
     assert mixing.rates(odd.limit(0), model).count() == 0
     assert mixing.rates(odd, mixing.trained(all_docs, labels.limit(0))).count() == docs.count()
+
+
+def test_mixing_reaches_a_rare_domain(spark):
+    from panelforge.llm import mixing
+
+    rows = [(10_000, [1.0, 0.0])] * 100 + [(10, [0.0, 1.0])] * 10
+    members = spark.createDataFrame(rows, "tokens long, posteriors array<double>")
+    totals = mixing.fitted(members, ["common", "rare"]).totals()
+    assert [d for d, *_ in totals] == ["common", "rare"] and totals[1][1] > 8 * 100
+    assert all(reached == pytest.approx(target, rel=0.005) for _, target, reached in totals)
