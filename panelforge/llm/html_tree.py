@@ -6,7 +6,8 @@ import re
 from html import unescape
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg iframe title textarea math object head".split())  # their insides aren't page text
+RAW = frozenset("script style iframe title textarea".split())  # raw text up to the end tag, or to the page's end
+HIDDEN = frozenset("template svg".split())  # their insides aren't page text, if they end
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr br img input button select option output picture audio video canvas".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}, "option": {"option"}}
@@ -89,9 +90,11 @@ def read(html: str | None) -> tuple[list[Node], list[str]]:
             if tag == "p" or tag in CLOSES_P:
                 flush()
             continue
-        if tag in RAW and tag != "head":
+        if tag in ("svg", "math") and (m["attrs"] or m["attrs2"] or "").rstrip().endswith("/"):
+            continue
+        if tag in RAW or tag in HIDDEN:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
-            at = end.end() if end else n
+            at = end.end() if end else n if tag in RAW else at
             if tag == "textarea":
                 nodes[owner].controls += 1
             continue

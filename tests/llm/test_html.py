@@ -79,3 +79,13 @@ def test_main_text(spark, model):
     assert out[0].text == "Title & more\n\nFirst para\n\nwith text.\n\none\n\ntwo" and out[0].n_chars == len(out[0].text)
     assert out[1].text == out[2].text == "" and out[1].n_chars == 0
     assert H.main_text(df.limit(0), model).count() == 0
+
+
+def test_reader_keeps_what_follows_foreign_elements():
+    from panelforge.llm.html_tree import read
+
+    for inside in ("<svg/>", "<svg width=1 />", "<math/>", "<object data=x>", "<svg><path/>", "<template>"):
+        assert " ".join(read(f"<p>one {inside} two</p><p>three</p>")[1]).split() == ["one", "two", "three"], inside
+    for tag in ("math", "object", "noscript"):
+        assert " ".join(read(f"<p>one</p><{tag}>two</{tag}><p>three</p>")[1]).split() == ["one", "two", "three"], tag
+    assert read("<p>one</p><svg><text>no</text></svg><script>no")[1] == ["one"]
