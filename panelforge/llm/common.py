@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,19 +45,6 @@ def renamed_apart(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 
 
 _MASK = (1 << 64) - 1
-_MULT = np.uint64(0x9E3779B97F4A7C15)
-
-
-class WordHashes(dict):
-    """word bytes -> 64-bit hash, remembered up to a bound."""
-
-    LIMIT = 120_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -68,21 +56,87 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_set(text: bytes | None, memo: WordHashes, width: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of all runs of `width` words (the whole sequence, if shorter; none without words).
-
-    Words are what stands between ASCII white space after A-Z are lower-cased."""
-    words = text.lower().split() if text else []
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(memo.__getitem__, words), np.uint64, n)
-    k = min(width, n)
-    out = np.full(n - k + 1, np.uint64(k), np.uint64)
-    for i in range(k):
-        out = (out + h[i : n - k + 1 + i]) * _MULT
-        out ^= out >> np.uint64(32)
-    return np.unique(mixed(out))
+_SPACES = b" \t\n\x0b\x0c\r"
+_IN_WORD = np.ones(256, bool)
+_IN_WORD[list(_SPACES)] = False
+PIECE = 1 << 17  # bytes hashed at once
+_BASE = 0x9E3779B97F4A7C15 & ~7 | 5  # odd and 5 modulo 8, so that its powers repeat as late as can be
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    out[1:] = np.uint64(base)
+    return np.multiply.accumulate(out)
+
+
+_UP, _DOWN = _powers(_BASE, PIECE), _powers(pow(_BASE, -1, 1 << 64), PIECE)
+# a 64-bit value for each byte, the same for A-Z and a-z
+_VALUES = np.array([xxhash.xxh3_64_intdigest(bytes([b]).lower()) | 1 for b in range(256)], np.uint64)
+_PLACES = np.array([xxhash.xxh3_64_intdigest(b"place%d" % k) | 1 for k in range(64)], np.uint64)
+
+
+def _hashed(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words raw[start:end]: a polynomial in each word's bytes, from one running sum."""
+    out, a, n = np.empty(len(starts), np.uint64), 0, len(starts)
+    while a < n:
+        first = int(starts[a])
+        b = int(np.searchsorted(ends, first + PIECE, "right"))
+        if b == a:  # one word that is longer than a piece
+            total = 0
+            for at in range(first, int(ends[a]), PIECE):
+                part = _VALUES[raw[at : min(at + PIECE, int(ends[a]))]]
+                total += int((part * _UP[: len(part)]).sum(dtype=np.uint64)) * pow(_BASE, at - first, 1 << 64)
+            out[a] = total & _MASK
+            a += 1
+            continue
+        values = _VALUES[raw[first : int(ends[b - 1])]]
+        sums = np.empty(len(values) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(values * _UP[: len(values)], out=sums[1:])
+        s, e = starts[a:b] - first, ends[a:b] - first
+        out[a:b] = (sums[e] - sums[s]) * _DOWN[s]
+        a = b
+    return mixed(out)
+
+
+def shingle_sets(texts: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
+    """For each text, the sorted distinct 64-bit hashes of all runs of `width` words (of the whole sequence, if it is
+    shorter; none without words). Words are what stands between ASCII white space after A-Z are lower-cased. Texts are
+    taken from the column's bytes, many at a time, without an object for each word."""
+    texts = texts.cast(pa.large_binary())
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.empty(0, np.uint8)
+    k, n = 0, len(texts)
+    while k < n:
+        last = max(k + 1, int(np.searchsorted(bounds, bounds[k] + PIECE, "right")) - 1)
+        raw, cuts = data[bounds[k] : bounds[last]], bounds[k : last + 1] - bounds[k]
+        word = _IN_WORD[raw]
+        begins, stops = word.copy(), word.copy()
+        begins[1:] &= ~word[:-1]
+        stops[:-1] &= ~word[1:]
+        inner = cuts[(cuts > 0) & (cuts < len(raw))]
+        begins[inner], stops[inner - 1] = word[inner], word[inner - 1]
+        starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+        h = _hashed(raw, starts, ends)
+        runs = None
+        if len(h) >= width:
+            runs = np.full(len(h) - width + 1, width, np.uint64)
+            for i in range(width):
+                runs += h[i : len(h) - width + 1 + i] * _PLACES[i]
+            runs = mixed(runs)
+        at = np.searchsorted(starts, cuts)
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            if b - a >= width:
+                s = np.sort(runs[a : b - width + 1])
+                new = np.empty(len(s), bool)
+                new[0] = True
+                np.not_equal(s[1:], s[:-1], out=new[1:])
+                yield s[new]
+            elif b > a:
+                yield mixed(((h[a:b] * _PLACES[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a)).reshape(1))
+            else:
+                yield np.empty(0, np.uint64)
+        k = last
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int, keep: Column | None = None) -> DataFrame:

@@ -8,138 +8,112 @@ last, so blocks stay small. Blocks with the same members are one block.
 In a block every set is the point of its counts in G groups of hashed shingles. An R-tree over the points bounds the
 overlap of two boxes, a box and a point, or two points by the sum of the smaller coordinates; what can't reach the
 overlap that similarity 0.8 needs is dropped. Surviving pairs are verified on the whole sets. Only connectedness is
-asked for, so a first round verifies each point's most promising partner, and a second one all surviving pairs whose
-ends the first round left in different components: no link between components is lost, and large groups of near
-copies don't become all their pairs.
+asked for, so first rounds verify each point's most promising partners, and a last one all surviving pairs whose ends
+are still in different components: no link between components is lost, and large groups of near copies don't become
+all their pairs. Count vectors only go to blocks that still hold two components and pairs that were not proposed.
+
+How many documents hold a shingle is counted over all documents in a sketch of fixed size. It decides the order and
+which shingles are split; any order and any split give the same links.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import BROADCAST_IDS, WordHashes, cut, mixed, modest_batches, shingle_set, table, without_ids
+from .common import BROADCAST_IDS, cut, mixed, modest_batches, shingle_sets, table, without_ids
 from .components import components
 
 WIDTH, NUM, DEN = 5, 4, 5  # words of a shingle; similarity 4/5
 LEAST_GROUPS, MOST_GROUPS = 64, 4096  # of a count vector: the power of two next to the set's size
-RANGES, RANGE_BITS = 1024, 22  # of 32-bit shingle keys whose documents are counted
-FLUSH = 1_000_000
-COMMON_DOCS, COMMON_KEYS = 4, 1_000_000  # shingles in that many documents go last, rarest first; the list's bound
-BLOCK = 8192  # members of a block of one very common shingle
+SKETCH_BITS, SKETCH_PARTS = 19, 32  # counters of each of the sketch's two rows; parts it is added up in
+STEPS = 8  # of a count's logarithm to one power of two
+FLUSH, FLUSH_PAIRS = 1_000_000, 200_000
+BLOCK = 2048  # members of a block of one very common shingle
 LEAF = 16
-SLICE = 256  # texts that are Python objects at once
-FULL = np.iinfo(np.uint8).max
-ROUNDS = 2  # with one partner for each point and other component, before all pairs of components
-
-
-def _sets(batch: pa.RecordBatch, memo: WordHashes) -> Iterator[tuple[int, np.ndarray]]:
-    for k in range(0, batch.num_rows, SLICE):
-        part = batch.slice(k, SLICE)
-        for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            yield doc_id, shingle_set(text, memo, WIDTH)
+SLICE = 256  # documents whose shingles are dealt together
+FULL = 15  # counts are kept in four bits
+ENDLESS = 1 << 20  # stands for FULL: more than any set has in a group that matters
+KNOWN_CODES = 200_000  # sets that a task remembers as already dealt
+ROUNDS = 1  # with one partner for each point and other component, before all pairs of components
 
 
 def prefix_length(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1 if n else 0
 
 
-def _packed_keys(shingles: np.ndarray) -> bytes:
+def _packed_keys(keys: np.ndarray) -> bytes:
     """The upper 48 bits of each: enough to meet by, as shared keys only propose pairs."""
-    return np.ascontiguousarray((shingles >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    return np.ascontiguousarray((keys >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
 def _keys(packed: bytes) -> np.ndarray:
     out = np.zeros((len(packed) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    out[:, 2:] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
     return out.view(np.uint64).reshape(-1)
 
 
-def _packed_counts(parts: list[np.ndarray]) -> pa.RecordBatch:
-    """Documents by the upper 32 bits of a shingle, as rows of (range, blocks, low 16 bits, repeated places, repeats)."""
-    keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-    ends = np.searchsorted(keys, (np.arange(1, RANGES + 1, dtype=np.uint64) << np.uint64(RANGE_BITS)))
-    rows, start = {"part": [], "blocks": [], "low": [], "at": [], "more": []}, 0
-    for part, end in enumerate(ends):
-        if end > start:
-            k, c = keys[start:end], counts[start:end]
-            blocks = np.bincount(((k >> np.uint32(16)) & np.uint32((1 << RANGE_BITS - 16) - 1)).astype(np.int64), minlength=1 << RANGE_BITS - 16)
-            at = np.flatnonzero(c > 1)
-            rows["part"].append(part)
-            rows["blocks"].append(blocks.astype(np.uint32).tobytes())
-            rows["low"].append((k & np.uint32(0xFFFF)).astype(np.uint16).tobytes())
-            rows["at"].append(at.astype(np.uint32).tobytes())
-            rows["more"].append((c[at] - 1).astype(np.uint32).tobytes())
-        start = end
-    return pa.RecordBatch.from_arrays([pa.array(rows["part"], pa.int32()), *(pa.array(rows[c], pa.binary()) for c in ("blocks", "low", "at", "more"))], names=list(rows))
-
-
-def _count_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo, parts, held = WordHashes(), [], 0
+def _places(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A shingle's counter in either row of the sketch, from its upper 48 bits."""
+    return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), (s >> np.uint64(63 - 2 * SKETCH_BITS)).astype(np.int64) & ((1 << SKETCH_BITS) - 1)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) -> this task's counters, by part."""
+    counts, parts, held = np.zeros((2, 1 << SKETCH_BITS), np.int64), [], 0
+
+    def flush() -> None:
+        for row, at in enumerate(_places(np.concatenate(parts))):
+            counts[row] += np.bincount(at, minlength=1 << SKETCH_BITS)
+
     for batch in batches:
-        for _, s in _sets(batch, memo):
-            parts.append((s >> np.uint64(32)).astype(np.uint32))
+        for s in shingle_sets(batch.column(0), WIDTH):
+            parts.append(s)
             held += len(s)
             if held >= FLUSH:
-                yield _packed_counts(parts)
+                flush()
                 parts, held = [], 0
     if held:
-        yield _packed_counts(parts)
-
+        flush()
+    if counts.any():
+        packed = [zlib.compress(x.astype(np.min_scalar_type(int(x.max()))).tobytes(), 1) for x in np.split(counts.reshape(-1), SKETCH_PARTS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(packed, pa.binary())], names=["part", "counts"])
 
-def _add_counts(least: int):  # noqa: ANN202
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, now = None, None
-        base = np.arange(1 << RANGE_BITS - 16, dtype=np.int64) << 16
 
-        def found() -> pa.RecordBatch:
-            at = np.flatnonzero(counts >= least)
-            return pa.RecordBatch.from_arrays([pa.array((now << RANGE_BITS) + at, pa.int64()), pa.array(counts[at], pa.int64())], names=["key", "docs"])
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    size = 2 * (1 << SKETCH_BITS) // SKETCH_PARTS
+    for batch in batches:
+        for part, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            raw = zlib.decompress(packed)
+            sums[part] = sums.get(part, 0) + np.frombuffer(raw, f"u{len(raw) // size}").astype(np.int64)
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
 
-        for batch in batches:
-            for part, blocks, low, at, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if part != now:
-                    if now is not None:
-                        yield found()
-                    counts, now = np.zeros(1 << RANGE_BITS, np.int64), part
-                places = np.repeat(base, np.frombuffer(blocks, np.uint32)) + np.frombuffer(low, np.uint16)
-                counts[places] += 1
-                counts[places[np.frombuffer(at, np.uint32)]] += np.frombuffer(more, np.uint32)
-        if now is not None:
-            yield found()
 
-    return add
+def shingle_sketch(texts: DataFrame) -> np.ndarray:
+    """(2, counters) of uint8: the logarithm, in STEPS to one power of two, of how many documents hold the shingles of
+    each counter beyond the usual number. A shingle has the smaller of its two. Counted over all documents; the size is
+    fixed, so with more documents only shingles in ever more of them stand out."""
+    rows = texts.select("text").mapInArrow(_count, "part int, counts binary").repartition("part").mapInArrow(_add_up, "part int, counts binary").collect()  # a fixed size
+    counts = np.zeros(2 << SKETCH_BITS, np.int64)
+    size = len(counts) // SKETCH_PARTS
+    for r in rows:
+        counts[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["counts"], np.int64)
+    counts = counts.reshape(2, -1)
+    beyond = np.maximum(counts - np.median(counts, 1, keepdims=True), 0)
+    return np.minimum(STEPS * np.log2(1 + beyond), 255).astype(np.uint8)
 
 
-def _packed_list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, docs = (batch.column(k).to_numpy().astype(kind).tobytes() for k, kind in ((0, np.uint32), (1, np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array([keys], pa.binary()), pa.array([docs], pa.binary())], names=["keys", "docs"])
-
-
-def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(upper 32 bits, documents) of the shingles that several documents hold, counted over all documents.
-
-    The list orders the prefixes and nothing else, so its length may be bounded: of more than COMMON_KEYS, only those in
-    the most documents are taken, by a threshold from the histogram of counts."""
-    packed = texts.mapInArrow(_count_locally, "part int, blocks binary, low binary, at binary, more binary")
-    counts = cut(packed.repartition("part").sortWithinPartitions("part").mapInArrow(_add_counts(COMMON_DOCS), "key long, docs long"))
-    steps = counts.groupBy(F.floor(F.log2("docs") * 8).alias("b")).agg(F.count("*").alias("n"), F.min("docs").alias("least")).orderBy(F.desc("b")).collect()  # some hundred rows
-    total, least = 0, None
-    for r in steps:
-        total += r["n"]
-        if total > COMMON_KEYS:
-            break
-        least = r["least"]
-    chosen = counts.where(F.col("docs") >= (least if least is not None else 1 << 62))
-    got = chosen.mapInArrow(_packed_list, "keys binary, docs binary").collect()  # 12 bytes a key
-    keys, docs = (np.concatenate([np.frombuffer(r[k], kind) for r in got] or [np.empty(0, kind)]) for k, kind in ((0, np.uint32), (1, np.int64)))
-    order = np.argsort(keys, kind="stable")
-    return keys[order], docs[order]
+def commonness(sketch: np.ndarray, s: np.ndarray) -> np.ndarray:
+    a, b = _places(s)
+    return np.minimum(sketch[0][a], sketch[1][b])
 
 
 def groups_for(n: int) -> int:
@@ -147,106 +121,106 @@ def groups_for(n: int) -> int:
 
 
 def count_vector(s: np.ndarray) -> bytes:
-    """How many shingles fall into each group of their lowest bits; FULL where that many or more do."""
+    """How many shingles fall into each group of their lowest bits, two groups a byte; FULL where that many or more
+    do."""
     g = groups_for(len(s))
-    return np.minimum(np.bincount((s & np.uint64(g - 1)).astype(np.int64), minlength=g), FULL).astype(np.uint8).tobytes()
+    x = np.minimum(np.bincount((s & np.uint64(g - 1)).astype(np.int64), minlength=g), FULL).astype(np.uint8)
+    return (x[0::2] | (x[1::2] << np.uint8(4))).tobytes()
 
 
 def same_groups(vectors: list[bytes]) -> np.ndarray:
     """The vectors with as many groups as the shortest has: groups whose low bits agree are added up."""
-    g = min(map(len, vectors))
-    rows = []
-    for v in vectors:
-        x = np.frombuffer(v, np.uint8).astype(np.int64)
-        x[x == FULL] = 1 << 40  # cut off, so no bound
-        rows.append(x.reshape(-1, g).sum(0))
-    return np.stack(rows)
+    g = 2 * min(map(len, vectors))
+    out = np.empty((len(vectors), g), np.int32)
+    for row, v in zip(out, vectors, strict=True):
+        x = np.empty(2 * len(v), np.int32)
+        packed = np.frombuffer(v, np.uint8)
+        x[0::2], x[1::2] = packed & 15, packed >> 4
+        x[x == FULL] = ENDLESS  # cut off, so no bound
+        row[:] = x.reshape(-1, g).sum(0)
+    return out
 
 
-def _signed(common) -> object:  # noqa: ANN001
-    """Mapper: (doc_id, text) -> (doc_id, n, digest, prefix, counts). `common`: a broadcast of common_shingles."""
+def _signed(sketch, parts: int, block: int) -> object:  # noqa: ANN001
+    """Mapper: (doc_id, text) -> rows (part, doc_id, n, m1, m2, vector) of documents, and rows (part, keys, codes) of
+    what each range of shingles gets from the prefixes of this batch. m1 and m2 are the set's digest, m1 its code."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs = common.value
-        memo = WordHashes()
-        for batch in batches:
-            rows = {"doc_id": [], "n": [], "digest": [], "prefix": [], "vector": []}
-            for doc_id, s in _sets(batch, memo):
-                n = len(s)
-                p = prefix_length(n)
-                if len(keys) and n:
-                    upper = (s >> np.uint64(32)).astype(np.uint32)
-                    at = np.minimum(np.searchsorted(keys, upper), len(keys) - 1)
-                    held = np.where(keys[at] == upper, docs[at], 0)
-                    rare = s[held == 0]
-                    if len(rare) < p:
-                        rest = held > 0
-                        rest_keys, rest_docs = s[rest], held[rest]
-                        rare = np.concatenate([rare, rest_keys[np.lexsort((rest_keys, rest_docs))]])
-                else:
-                    rare = s
-                rows["doc_id"].append(doc_id)
-                rows["n"].append(n)
-                m1, m2 = (s.sum(dtype=np.uint64), mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) if n else (np.uint64(0), np.uint64(0))
-                rows["digest"].append(np.array([n, m1, m2], np.uint64).tobytes())
-                rows["prefix"].append(_packed_keys(rare[:p]))
-                rows["vector"].append(count_vector(s))
-            yield pa.RecordBatch.from_arrays([pa.array(rows["doc_id"], pa.int64()), pa.array(rows["n"], pa.int64()), *(pa.array(rows[c], pa.binary()) for c in ("digest", "prefix", "vector"))], names=list(rows))
+        known: set[int] = set()
+        for whole in batches:
+            for k in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(k, SLICE)
+                docs = {"n": [], "m1": [], "m2": [], "vector": []}
+                prefixes, codes = [], []
+                for s in shingle_sets(batch.column(1), WIDTH):
+                    n = len(s)
+                    m1 = int(s.sum(dtype=np.uint64).view(np.int64))
+                    docs["n"].append(n)
+                    docs["m1"].append(m1)
+                    docs["m2"].append(int(mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
+                    docs["vector"].append(count_vector(s))
+                    if n and m1 not in known:  # equal sets need to be dealt once
+                        if len(known) >= KNOWN_CODES:
+                            known.clear()
+                        known.add(m1)
+                        prefixes.append(s[np.argsort(commonness(sketch.value, s), kind="stable")[: prefix_length(n)]])
+                        codes.append(m1)
+                rows = batch.num_rows
+                home = (mixed(np.array(docs["m1"], np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+                none = pa.nulls(rows, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(home), batch.column(0), *(pa.array(docs[c], pa.int64()) for c in ("n", "m1", "m2")), pa.array(docs["vector"], pa.binary()), none, none], names=_SIGNED)
+                if prefixes:
+                    yield _dealt(np.concatenate(prefixes), np.repeat(np.array(codes, np.int64), [len(p) for p in prefixes]), sketch.value, parts, block)
 
     return sign
 
 
-def _dealt(parts: int, common) -> object:  # noqa: ANN001
-    """Mapper: (rep, prefix) -> rows of (part, keys, reps): what each shingle range gets of this batch."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, docs = common.value
-        large = docs > BLOCK
-        heavy, docs = heavy[large], docs[large]
-        for batch in batches:
-            reps = batch.column(0).to_numpy()
-            prefixes = [_keys(x) for x in batch.column(1).to_pylist()]
-            if not prefixes:
-                continue
-            keys, who = np.concatenate(prefixes), np.repeat(reps, [len(p) for p in prefixes])
-            if len(heavy) and len(keys):
-                upper = (keys >> np.uint64(16)).astype(np.uint32)
-                at = np.minimum(np.searchsorted(heavy, upper), len(heavy) - 1)
-                hot = np.flatnonzero(heavy[at] == upper)
-                if len(hot):  # members of very common shingles meet in all pairs of blocks
-                    cold = np.ones(len(keys), bool)
-                    cold[hot] = False
-                    more_keys, more_who = [keys[cold]], [who[cold]]
-                    for i in hot:
-                        blocks = -(-int(docs[at[i]]) // BLOCK)
-                        own = int(mixed(np.array([who[i]], np.int64).view(np.uint64))[0] % np.uint64(blocks))
-                        other = np.arange(blocks)
-                        pair = (np.minimum(own, other) * blocks + np.maximum(own, other)).astype(np.uint64)
-                        more_keys.append(mixed(keys[i] ^ mixed(pair + np.uint64(1))) >> np.uint64(16))
-                        more_who.append(np.full(blocks, who[i]))
-                    keys, who = np.concatenate(more_keys), np.concatenate(more_who)
-            part = (mixed(keys) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            keys, who, bounds = keys[order], who[order], np.searchsorted(part[order], np.arange(parts + 1))
-            full = [k for k in range(parts) if bounds[k + 1] > bounds[k]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(full, pa.int32()), pa.array([_packed_keys(keys[bounds[k] : bounds[k + 1]] << np.uint64(16)) for k in full], pa.binary()), pa.array([who[bounds[k] : bounds[k + 1]].tobytes() for k in full], pa.binary())],
-                names=["part", "keys", "reps"],
-            )
-
-    return deal
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's shingles with their members -> (block, rep), one block for each distinct list of two members or
-    more."""
-    keys, reps = [], []
+_SIGNED = ["part", "doc_id", "n", "m1", "m2", "vector", "keys", "codes"]
+_SIGNED_TYPES = "part int, doc_id long, n long, m1 long, m2 long, vector binary, keys binary, codes binary"
+_MET_TYPES = "doc_id long, n long, m1 long, m2 long, vector binary, block long, code long"
+
+
+def _dealt(keys: np.ndarray, who: np.ndarray, sketch: np.ndarray, parts: int, block: int) -> pa.RecordBatch:
+    """Prefix shingles with their sets' codes, packed by range. Members of a very common shingle meet in all pairs of
+    blocks of about `block`, so no task gathers them."""
+    common = commonness(sketch, keys)
+    hot = np.flatnonzero(common >= STEPS * np.log2(block))
+    if len(hot):
+        cold = np.ones(len(keys), bool)
+        cold[hot] = False
+        more_keys, more_who = [keys[cold]], [who[cold]]
+        for i in hot:
+            blocks = -(-int(2.0 ** ((int(common[i]) + 1) / STEPS)) // block)
+            own = int(mixed(who[i : i + 1].view(np.uint64))[0] % np.uint64(blocks))
+            other = np.arange(blocks)
+            pair = (np.minimum(own, other) * blocks + np.maximum(own, other)).astype(np.uint64)
+            more_keys.append(mixed((keys[i] >> np.uint64(16)) ^ mixed(pair + np.uint64(1))))
+            more_who.append(np.full(blocks, who[i]))
+        keys, who = np.concatenate(more_keys), np.concatenate(more_who)
+    part = (mixed(keys >> np.uint64(16)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    keys, who, bounds = keys[order], who[order], np.searchsorted(part[order], np.arange(parts + 1))
+    full = [k for k in range(parts) if bounds[k + 1] > bounds[k]]
+    rows = len(full)
+    packed = [pa.array([_packed_keys(keys[bounds[k] : bounds[k + 1]]) for k in full], pa.binary()), pa.array([who[bounds[k] : bounds[k + 1]].tobytes() for k in full], pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.nulls(rows, pa.int64()) for _ in range(4)), pa.nulls(rows, pa.binary()), *packed], names=_SIGNED)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's rows of _signed: documents go on as they are; shingles with their members become (block, code),
+    one block for each distinct list of two members or more."""
+    keys, codes = [], []
     for batch in batches:
-        keys += [_keys(x) for x in batch.column(1).to_pylist()]
-        reps += [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+        docs = batch.filter(batch.column(2).is_valid())
+        if docs.num_rows:
+            yield _met_rows([docs.column(k) for k in range(1, 6)], docs.num_rows)
+        dealt = batch.filter(batch.column(6).is_valid())
+        keys += [_keys(x) for x in dealt.column(6).to_pylist()]
+        codes += [np.frombuffer(x, np.int64) for x in dealt.column(7).to_pylist()]
     if not keys:
         return
-    k, r = np.concatenate(keys), np.concatenate(reps)
+    k, r = np.concatenate(keys), np.concatenate(codes)
+    del keys, codes
     order = np.lexsort((r, k))
     k, r = k[order], r[order]
     new = np.ones(len(k), bool)
@@ -255,18 +229,24 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     sizes = np.diff(np.append(starts, len(k)))
     several = np.repeat(sizes > 1, sizes)
-    k, r, sizes = k[several], r[several], sizes[sizes > 1]
-    if not len(k):
+    r, sizes = r[several], sizes[sizes > 1]
+    if not len(r):
         return
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    code = mixed(np.add.reduceat(mixed(r.view(np.uint64) + np.uint64(0x632BE59BD9B4E019)), starts) + sizes.astype(np.uint64))
-    _, first = np.unique(code, return_index=True)
+    block = mixed(np.add.reduceat(mixed(r.view(np.uint64) + np.uint64(0x632BE59BD9B4E019)), starts) + sizes.astype(np.uint64))
+    _, first = np.unique(block, return_index=True)
     chosen = np.zeros(len(sizes), bool)
     chosen[first] = True
     rows = np.repeat(chosen, sizes)
-    names = np.repeat(code, sizes)[rows].view(np.int64)
+    names, r = np.repeat(block, sizes)[rows].view(np.int64), r[rows]
     for i in range(0, len(names), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 100_000]), pa.array(r[rows][i : i + 100_000])], names=["block", "rep"])
+        yield _met_rows(None, len(names[i : i + 100_000]), pa.array(names[i : i + 100_000]), pa.array(r[i : i + 100_000]))
+
+
+def _met_rows(docs: list[pa.Array] | None, rows: int, block: pa.Array | None = None, code: pa.Array | None = None) -> pa.RecordBatch:
+    docs = docs or [*(pa.nulls(rows, pa.int64()) for _ in range(4)), pa.nulls(rows, pa.binary())]
+    ends = [pa.nulls(rows, pa.int64()) if x is None else x for x in (block, code)]
+    return pa.RecordBatch.from_arrays([*docs, *ends], names=["doc_id", "n", "m1", "m2", "vector", "block", "code"])
 
 
 def _least_overlap(n: np.ndarray) -> np.ndarray:
@@ -332,7 +312,7 @@ class RTree:
                         yield i, j, share
 
 
-def _best(n: int, key: np.ndarray, i: np.ndarray, j: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _best(key: np.ndarray, i: np.ndarray, j: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the pairs (i, j), the one with the largest share for each (i, key)."""
     order = np.lexsort((j, -share, key, i))
     i, j, key = i[order], j[order], key[order]
@@ -341,72 +321,97 @@ def _best(n: int, key: np.ndarray, i: np.ndarray, j: np.ndarray, share: np.ndarr
     return i[first], j[first]
 
 
+class _Proposed:
+    """Pairs to verify, made distinct now and then, and blocks that hold further ones, as rows (a, b, block)."""
+
+    def __init__(self) -> None:
+        self.pairs: list[np.ndarray] = []
+        self.unfinished: list[int] = []
+        self.held = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+        self.held += len(a)
+
+    def taken(self) -> Iterator[pa.RecordBatch]:
+        pairs = np.unique(np.concatenate(self.pairs), axis=0) if self.pairs else np.empty((0, 2), np.int64)
+        n, m = len(pairs), len(self.unfinished)
+        columns = [pa.concat_arrays([pa.array(pairs[:, k]), pa.nulls(m, pa.int64())]) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(self.unfinished, pa.int64())])], names=["a", "b", "block"])
+        self.pairs, self.unfinished, self.held = [], [], 0
+
+
+def _search(turn: int, reps: np.ndarray, roots: np.ndarray, tree: RTree, out: _Proposed) -> Generator[pa.RecordBatch, None, bool]:
+    """Adds a block's pairs to out, and gives out what has gathered. The last value is whether all pairs that the bounds
+    admit were added: then the block is finished, as components only ever merge."""
+    found = tree.pairs(None, 1) if not turn else tree.pairs(roots)
+    if turn > ROUNDS:
+        for i, j, _ in found:
+            out.add(reps[i], reps[j])
+            if out.held >= FLUSH_PAIRS:
+                yield from out.taken()
+        return True
+    found = list(found)
+    if not found:
+        return bool(turn) or len(tree.leaves) <= 2
+    i, j, share = (np.concatenate(x) for x in zip(*found, strict=True))
+    admitted = len(i)
+    if not turn:
+        i, j = _best(np.zeros(len(i), int), np.maximum(i, j), np.minimum(i, j), share)
+        whole = len(i) == admitted and len(tree.leaves) <= 2
+    else:
+        i, j, share = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([share, share])
+        i, j = _best(roots[j], i, j, share)
+        whole = len(np.unique(np.minimum(i, j) * len(reps) + np.maximum(i, j))) == admitted
+    out.add(reps[i], reps[j])
+    return whole
+
+
 def _candidates(turn: int):  # noqa: ANN202
-    """Mapper over sorted (block, rep, n, vector, root): pairs to verify.
+    """Mapper over sorted (block, rep, n, vector, root): pairs to verify, and blocks that another turn must search.
 
     Turn 0: each point's most promising partner among the points of its leaf and the next one. Turns up to ROUNDS: for
-    each point, the most promising partners in other components. After that: all admitted pairs of components."""
-
-    def search(block: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        reps = np.array([x[1] for x in block])
-        _, keep = np.unique(reps, return_index=True)
-        if len(keep) < 2:
-            return
-        reps, roots = reps[keep], np.array([x[4] for x in block])[keep]
-        if turn and (roots == roots[0]).all():
-            return
-        tree = RTree(same_groups([block[i][3] for i in keep]), np.array([block[i][2] for i in keep]))
-        found = list(tree.pairs(None, 1) if not turn else tree.pairs(roots))
-        if not found:
-            return
-        i, j, share = (np.concatenate(x) for x in zip(*found, strict=True))
-        if not turn:
-            i, j = _best(len(reps), np.zeros(len(i), int), np.maximum(i, j), np.minimum(i, j), share)
-        elif turn <= ROUNDS:
-            i, j, share = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([share, share])
-            i, j = _best(len(reps), np.zeros(len(i), int) if turn == 1 else roots[j], i, j, share)
-        yield np.minimum(reps[i], reps[j]), np.maximum(reps[i], reps[j])
+    each point, the most promising partner in each other component. After that: all admitted pairs of components, given
+    out as they are found."""
 
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: list[tuple] = []
-        a, b, held = [], [], 0
-
-        def out() -> pa.RecordBatch:
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        out, held = _Proposed(), []
 
-        def rows() -> Iterator[tuple]:
+        def blocks() -> Iterator[pa.Table]:
+            nonlocal held
             for batch in batches:
-                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            yield (None,)
-
-        for row in rows():
-            if block and row[0] != block[0][0]:
-                for x, y in search(block):
-                    a.append(x)
-                    b.append(y)
-                    held += len(x)
-                block = []
-                if held >= 200_000:
-                    yield out()
-                    a, b, held = [], [], 0
-            block.append(row)
-        if held:
-            yield out()
+                names = batch.column(0).to_numpy()
+                cuts = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else []
+                for a, b in zip(cuts, [*cuts[1:], len(names)], strict=True):
+                    part = batch.slice(a, b - a)
+                    if held and held[0].column(0)[0] != part.column(0)[0]:
+                        yield pa.Table.from_batches(held)
+                        held = []
+                    held.append(part)
+            if held:
+                yield pa.Table.from_batches(held)
+
+        for block in blocks():
+            reps, n, roots = (block.column(c).to_numpy() for c in ("rep", "n", "root"))
+            if len(reps) < 2 or (turn and (roots == roots[0]).all()):
+                continue
+            finished = yield from _search(turn, reps, roots, RTree(same_groups(block.column("vector").to_pylist()), n), out)
+            if not finished:
+                out.unfinished.append(block.column("block")[0].as_py())
+            if out.held >= FLUSH_PAIRS:
+                yield from out.taken()
+        yield from out.taken()
 
     return mapper
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo = WordHashes()
     for batch in batches:
         fine = []
-        for k in range(0, batch.num_rows, SLICE):
-            part = batch.slice(k, SLICE)
-            for x, y in zip(*(part.column(c).cast(pa.binary()).to_pylist() for c in (2, 3)), strict=True):
-                a, b = shingle_set(x, memo, WIDTH), shingle_set(y, memo, WIDTH)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                fine.append(DEN * both >= NUM * (len(a) + len(b) - both))
+        for x, y in zip(shingle_sets(batch.column(2), WIDTH), shingle_sets(batch.column(3), WIDTH), strict=True):
+            both = np.sort(np.concatenate([x, y]))
+            shared = int((both[1:] == both[:-1]).sum())
+            fine.append(DEN * shared >= NUM * (len(both) - shared))
         kept = pa.array(fine, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["a", "b"])
 
@@ -421,6 +426,16 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long")
 
 
+def _memberships(met: DataFrame, reps: DataFrame) -> DataFrame:
+    """(block, rep, n), distinct, of blocks where a member's next smaller or larger one is near enough in size. A code
+    that several classes share stands for each of them."""
+    rows = met.where("block IS NOT NULL").select("block", "code").join(reps.select(F.col("m1").alias("code"), "rep", "n"), "code")
+    by = Window.partitionBy("block").orderBy("n", "rep")
+    rows = rows.select("block", "rep", "n").distinct()
+    near = (F.lag("n").over(by) * DEN >= F.col("n") * NUM) | (F.col("n") * DEN >= F.lead("n").over(by) * NUM)
+    return rows.withColumn("near", F.coalesce(near, F.lit(False))).where("near").drop("near")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row.
 
@@ -430,38 +445,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     modest_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    common = spark.sparkContext.broadcast(common_shingles(texts))
-    signed = cut(texts.mapInArrow(_signed(common), "doc_id long, n long, digest binary, prefix binary, vector binary"))
-    linkable = signed.where("doc_id IS NOT NULL AND n > 0")
-    by_class = linkable.groupBy("digest")
-    reps = cut(by_class.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("vector").alias("vector")))
+    known_texts = texts.where("doc_id IS NOT NULL")
+    sketch = spark.sparkContext.broadcast(shingle_sketch(texts))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    prefixes = by_class.agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")).select("rep", "prefix")
-    dealt = prefixes.mapInArrow(_dealt(parts, common), "part int, keys binary, reps binary")
-    members = dealt.repartition("part").mapInArrow(_blocks, "block long, rep long")
-    members = cut(members.join(reps.select("rep", "n", "vector"), "rep").select("block", "rep", "n", "vector"))
+    met = cut(texts.mapInArrow(_signed(sketch, parts, BLOCK), _SIGNED_TYPES).repartition("part").mapInArrow(_met, _MET_TYPES))
+    signed = met.where("n IS NOT NULL").drop("block", "code")
+    digest = ["n", "m1", "m2"]
+    linkable = signed.where("doc_id IS NOT NULL AND n > 0")
+    reps = cut(linkable.groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.first("vector").alias("vector")))
+    members = cut(_memberships(met, reps))
 
-    links, tried = None, None
-    roots = spark.createDataFrame([], "node long, root long")
+    links, tried, roots = None, None, None
     for turn in range(ROUNDS + 2):
-        rooted = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        ordered = rooted.select("block", "rep", "n", "vector", "root").repartition("block").sortWithinPartitions("block", "n", "rep")
-        pairs = ordered.mapInArrow(_candidates(turn), "a long, b long").where("a <> b").distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            continue
-        tried = pairs if tried is None else tried.union(pairs)
-        found = cut(_verified(pairs, texts))
-        if not found.isEmpty():
-            links = found if links is None else links.union(found)
-            roots = components(links)
-    same_id = signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("d"), F.max("digest").alias("e")).where("d <> e")
-    classes = reps.join(roots, reps["rep"] == roots["node"], "left").select("digest", F.coalesce("root", "rep").alias("root"))
+        if roots is None:
+            live = members.withColumn("root", F.col("rep"))
+        else:
+            live = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+            several = live.groupBy("block").agg((F.min("root") != F.max("root")).alias("several")).where("several").select("block")
+            live = live.join(several, "block", "left_semi")
+        ordered = live.join(reps.select("rep", "n", "vector"), ["rep", "n"]).select("block", "rep", "n", "vector", "root").repartition("block").sortWithinPartitions("block", "n", "rep")
+        proposed = cut(ordered.mapInArrow(_candidates(turn), "a long, b long, block long"))
+        members = members.join(proposed.where("block IS NOT NULL").select("block"), "block", "left_semi")
+        pairs = proposed.where("a <> b").select("a", "b").distinct()
+        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        if not pairs.isEmpty():
+            tried = pairs if tried is None else tried.union(pairs)
+            found = cut(_verified(pairs, known_texts))
+            if not found.isEmpty():
+                links = found if links is None else links.union(found)
+                roots = components(links)
+        if members.isEmpty():
+            break
+    if roots is None:
+        roots = spark.createDataFrame([], "node long, root long")
+    same_id = signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*digest)).alias("d"), F.max(F.struct(*digest)).alias("e")).where("d <> e")
+    classes = reps.join(roots, reps["rep"] == roots["node"], "left").select(*digest, F.coalesce("root", "rep").alias("root"))
     if not same_id.isEmpty():  # ids that stand for several texts tie the classes of these together
-        tied = linkable.join(same_id.select("doc_id"), "doc_id", "left_semi").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
-        roots = components(classes.join(reps, "digest").select(F.col("rep").alias("a"), F.col("root").alias("b")).union(tied))
-        classes = reps.join(roots, reps["rep"] == roots["node"], "left").select("digest", F.coalesce("root", "rep").alias("root"))
-    out = signed.select("doc_id", "n", "digest").join(classes, "digest", "left")
+        tied = linkable.join(same_id.select("doc_id"), "doc_id", "left_semi").join(classes, digest).select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
+        roots = components(classes.join(reps, digest).select(F.col("rep").alias("a"), F.col("root").alias("b")).union(tied))
+        classes = reps.join(roots, reps["rep"] == roots["node"], "left").select(*digest, F.coalesce("root", "rep").alias("root"))
+    out = signed.select("doc_id", *digest).join(classes, digest, "left")
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 

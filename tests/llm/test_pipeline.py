@@ -73,10 +73,8 @@ def test_components_of_links(spark):
 @pytest.mark.parametrize("small", [False, True])
 def test_near_duplicates_equal_brute_force(spark, small, monkeypatch):
     if small:  # the ways for large inputs: many flushes, blocks of common shingles in pairs, shuffled ids
-        monkeypatch.setattr(ngram_join, "FLUSH", 3000)
         monkeypatch.setattr(ngram_join, "BLOCK", 20)
         monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
-        monkeypatch.setattr(ngram_join, "COMMON_KEYS", 40)
     rows = near_copies()
     df = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], SCHEMA)
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(df).collect())
