@@ -170,3 +170,86 @@ def test_contexts_find_further_identifiers(spark):
     assert rows[13] == ""
     out = {r.doc_id: r.text for r in pii.masked(frame(spark, texts)).collect()}
     assert out[12] == "please ring me at <phone>, thanks" and out[0] == "please ring me at <phone> thanks"
+
+
+def contexts(text, spans):
+    """(start, end, patterns) of each span: words before it, words before and after; in plain Python."""
+    out, tail, at = [], [], 0
+    zero = lambda w: re.sub("[0-9]", "0", w)
+    for k, (a, b) in enumerate(spans):
+        left = (tail + text[at:a].lower().split())[-3:]
+        following = text[b : spans[k + 1][0] if k + 1 < len(spans) else None].lower().split()
+        words, found = [zero(w) for w in left], []
+        found += [f"{n}:{' '.join(words[-n:])}" for n in (2, 3) if len(words) >= n]
+        if words and words[-1][-1] in ":=#":
+            found.append(f"1:{words[-1]}")
+        if words and following:
+            found.append(f"b:{words[-1]} _ {zero(following[0])}")
+        out.append((a, b, set(found)))
+        value = text[a:b]
+        tail, at = (left + ["<@>" if "@" in value else zero(value.lower())])[-3:], b
+    return out
+
+
+def test_words_around_instances(spark):
+    texts = ["pay a@b.co c@d.co e@f.co g@h.co", "ID: a@b.co, and " + "x" * 300 + " y z@w.xx.", "u@v.w", "", "e1 é2 a@b.co\tç c@d.co"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.transform(pii.located(F.col("t"), pii.PATTERNS["email"]), lambda s: F.struct(s["start"], s["end"], pii.patterns_of(s["left"], s["right"]).alias("p"))).alias("s")).collect()
+    for r in rows:
+        spans = [m.span() for m in re.finditer(PLAIN["email"], r.t)]
+        assert [(s[0], s[1], set(s["p"])) for s in r.s] == contexts(r.t, spans)
+    assert all(s["p"] for s in rows[0].s[1:])
+
+
+def scored(edges, rounds=pii.ROUNDS, confidence=pii.CONFIDENCE, support=pii.SUPPORT):
+    """confident_patterns in plain Python."""
+    kinds = range(len(pii.ALL_KINDS))
+    needed = [max(confidence, min(pii.SUREST, 0.5 + 0.5 * sum(s == k for _, _, s in edges) / len(edges))) for k in kinds]
+    of = defaultdict(list)
+    for p, v, s in edges:
+        of[p].append((v, s))
+    of = {p: x for p, x in of.items() if len(x) >= support}
+    best = {}
+    for _ in range(rounds):
+        trust = {}
+        for p, x in of.items():
+            scores = [[float(s == k) if s is not None else best.get(v, [0.0] * len(kinds))[k] for v, s in x] for k in kinds]
+            trust[p] = [sum(c) / (len(c) + 1) if sum(c) / (len(c) + 1) >= needed[k] and sum(z >= confidence for z in c) >= support else 0.0 for k, c in enumerate(scores)]
+        best = {}
+        for p, x in of.items():
+            for v, s in x:
+                if s is None:
+                    best[v] = [max(a, b) for a, b in zip(best.get(v, [0.0] * len(kinds)), trust[p], strict=True)]
+    return {(p, max(kinds, key=lambda k: (t[k], -k)), round(max(t), 9)) for p, t in trust.items() if max(t) > 0}
+
+
+def test_graph_scores_equal_brute_force(spark):
+    import random
+
+    r = random.Random(4)
+    edges = {}
+    for p in range(40):
+        kind, share = p % 5, r.choice([0.2, 0.6, 0.9, 1.0])
+        for _ in range(r.choice([3, 6, 20, 60])):
+            edges[p, r.randrange(400)] = kind if r.random() < share else None
+    seed = {}  # a value is one kind of seed throughout
+    rows = [(f"p{p}", v, seed.setdefault(v, s)) for (p, v), s in edges.items()]
+    got = pii.confident_patterns(spark.createDataFrame(rows, "pattern string, value long, seed int")).collect()
+    want = scored(rows)
+    assert {(x.pattern, x.kind, round(x.p, 9)) for x in got} == want and want
+
+
+def test_secrets_need_a_context(spark):
+    hexes = [hashlib.sha1(b"%d" % i).hexdigest() for i in range(30)]
+    texts = [f'some prose {i} token = "{h}" more prose' for i, h in enumerate(hexes[:20])] + ['other prose token = "Abc-93kd_02mfQpLz81" tail', f"commit {hexes[25]} fixes it", f"a hash like {hexes[26]}"]
+    rows = {r.doc_id: r for r in pii.personal_data(frame(spark, texts)).collect()}
+    assert all(rows[i].spans == f"secret:{texts[i].index(h)}:{texts[i].index(h) + 40}" and rows[i].n_added == 1 for i, h in enumerate(hexes[:20]))
+    assert rows[20].spans == "secret:21:40" and rows[21].spans == rows[22].spans == ""  # found by the context alone; not by the shape alone
+
+
+def test_masking_of_repeated_and_null_ids(spark):
+    data = [(1, "write to a@b.co", 5), (1, "totally different text without any", 6), (None, "at c@d.ee now", 7), (None, "at c@d.ee now", 7), (2, None, 8)]
+    df = spark.createDataFrame(data, "doc_id long, text string, __pii_hash long").withColumn("base", F.lit(1)).withColumn("spans", F.lit("s")).withColumn("others", F.lit(2))
+    out = pii.masked(df)
+    assert out.columns == df.columns
+    assert sorted((tuple(r)[:3] for r in out.collect()), key=str) == sorted([(1, "write to <email>", 5), data[1], (None, "at <email> now", 7), (None, "at <email> now", 7), data[4]], key=str)
+    assert Counter((r.doc_id, r.spans, r.n_added) for r in pii.personal_data(df).collect()) == Counter([(1, "email:9:15", 0), (1, "", 0), (None, "email:3:9", 0), (None, "email:3:9", 0), (2, "", 0)])
