@@ -27,10 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names a shared folder in spark.checkpoint.dir; only where it is unset (tests) a folder is made."""
+    """The cluster names a shared folder in spark.checkpoint.dir. Only in local mode, where one machine holds all, a
+    folder is made if none is named; elsewhere that is an error, as other machines couldn't read it."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="panelforge-"))
+    if sc.getCheckpointDir() is not None:
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="panelforge-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -153,6 +158,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int,
     picked = one.where(share) if total > rows else one
     texts = docs.select(F.col("doc_id").cast("long").alias("__doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     out = texts.join(F.broadcast(picked), F.col("__doc") == F.col("__id"))
+    # of rows that share an id, the first text in order; the sample is bounded, so this is a small shuffle
+    out = out.groupBy("__id").agg(F.min("text").alias("text"), F.first("__y").alias("__y"))
     return out.select(F.col("__id").alias("doc_id"), "text", F.col("__y").alias(target))
 
 
@@ -168,6 +175,6 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> Data
     """The rows of docs whose id isn't in the one column of ids, with all their columns. Null ids match null ids.
 
     The ids are broadcast where they are few; else docs are shuffled by id."""
-    ids = cut(ids.toDF("__gone_id").distinct())
+    ids = cut(ids.toDF("gone").distinct())
     few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, docs[id_col].cast("long").eqNullSafe(F.col("__gone_id")), "left_anti")
+    return docs.join(F.broadcast(ids) if few else ids, docs[f"`{id_col}`"].cast("long").eqNullSafe(ids["gone"]), "left_anti")

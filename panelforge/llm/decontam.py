@@ -140,7 +140,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that aren't contaminated, with all their columns."""
+    """The rows of docs that aren't contaminated, with all their columns, whatever their names.
+
+    Rows that repeat a doc_id go or stay together, rows without an id too. Null and empty texts stay. No documents give
+    no rows."""
     return without_ids(docs, contamination(docs, items, id_col, text_col).where("contaminated").select("doc_id"), id_col)
 
 

@@ -27,6 +27,7 @@ LABEL = "data-article"
 STRUCTURE = {t: k for k, ts in enumerate((("article", "main"), ("nav", "aside", "footer", "header", "form"), ("div", "section", "body", "html", "#root"))) for t in ts}
 KINDS = 4  # of child tags for the parent-child potentials; the last is any other tag
 PAGES_AT_ONCE = 128
+NEAREST = 32  # ancestors with names or structure whose features a node gets: work on a page is linear in its nodes
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -61,13 +62,14 @@ def features_of(nodes: list[Node], texts: list[str], names: Names) -> list[list[
             chars[node.parent] += chars[k]
             links[node.parent] += links[k]
         words[k] = own
-    out, around = [], []  # around: what a node's children have above them
+    out, around = [], []  # around: what a node's children have above them, for NEAREST ancestors at most
     for k, node in enumerate(nodes):
         tag, own = node.tag, words[k]
         parent = nodes[node.parent].tag if node.parent >= 0 else ""
         density = 4 * links[k] // max(chars[k], 1)
         f = ["", f"t {tag}", f"o {_log_bin(own)}", f"l {density}", f"t {tag} l {density}", f"t {tag} p {parent}", f"t {tag} o {_log_bin(own)}", f"a {_log_bin(chars[k])}", f"t {tag} c {min(node.children, 3)}", f"d {min(node.depth, 6)}"]
-        above = around[node.parent] if node.parent >= 0 else frozenset()
+        chain = around[node.parent] if node.parent >= 0 else ()
+        above = frozenset().union(*chain)
         f += sorted(above)
         mine = {f"in {tag}" if f"in {tag}" not in above else f"in {tag} twice"} if tag in STRUCTURE or tag in ("ul", "ol", "table") else set()
         if node.controls:
@@ -79,7 +81,7 @@ def features_of(nodes: list[Node], texts: list[str], names: Names) -> list[list[
             mine |= {f"in .{w}" for w in found}
             if "role" in got:
                 f.append(f"r {got['role'].lower()}")
-        around.append(above | mine)
+        around.append((*chain[-NEAREST + 1 :], frozenset(mine)) if mine else chain)
         out.append([names[x] for x in f])
     return out
 
@@ -101,7 +103,8 @@ class Forest:
         self.parent, self.kind = np.array(parent, np.int64), np.array(kind, np.int64)
         self.cols, self.rows = np.array(cols, np.int64), np.array(rows, np.int64)
         depth = np.array(depth, np.int64)
-        self.levels = [np.flatnonzero(depth == d) for d in range(1, int(depth.max(initial=0)) + 1)]
+        order = np.argsort(depth, kind="stable")
+        self.levels = np.split(order, np.searchsorted(depth[order], np.arange(1, int(depth.max(initial=0)) + 1)))[1:]
 
     def marginals(self, weights: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """P(label = 1) of each node; P(parent's label, own label) of each node with a parent. pair: (kind, parent,

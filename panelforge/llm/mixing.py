@@ -105,7 +105,8 @@ def trained(docs: DataFrame, labels: DataFrame, domain_col: str = "lang", rows:
         ids = ids.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < int(1_000_000 * rows / total))
     texts = docs.select(F.col("doc_id").cast("long").alias("__doc"), F.col("text").alias("__text"), F.coalesce(F.col(domain_col), F.lit("")).alias("__domain"))
     # the ids are bounded by `rows`, so they are broadcast
-    got = texts.join(F.broadcast(ids), F.col("__doc") == F.col("__id")).select(document_bag("__text").alias("b"), "__domain").select("b.ids", "b.weights", "__domain").toPandas()
+    one = texts.join(F.broadcast(ids), F.col("__doc") == F.col("__id")).groupBy("__id").agg(F.min(F.struct("__domain", "__text")).alias("d"))  # repeated ids come once
+    got = one.select(document_bag("d.__text").alias("b"), "d.__domain").select("b.ids", "b.weights", "__domain").toPandas()
     bags = [(np.asarray(i, np.int64), np.asarray(w)) for i, w in zip(got["ids"], got["weights"], strict=True)]
     return fit(bags, got["__domain"].tolist())
 
@@ -209,13 +210,19 @@ def rates(docs: DataFrame, model: DomainModel, weights: dict[str, float] | None
     return out.select("doc_id", "tokens", F.get(names, -F.col("best.i")).alias("domain"), F.col("best.p").alias("posterior"), "rate", copies_of(F.col("rate"), "doc_id").alias("copies"))
 
 
-def mixed(docs: DataFrame, model: DomainModel, weights: dict[str, float] | None = None, floor: float = FLOOR, ceiling: float = CEILING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row of docs as often as its rate says, with all its columns."""
-    judged = docs.withColumn("__m", memberships(F.col(text_col), model))
-    members = cut(judged.select("__m.tokens", "__m.posteriors"))
-    mixture = fitted(members, model.domains, weights, floor, ceiling)
-    out = judged.withColumn("__copies", copies_of(mixture.rate(F.col("__m.posteriors")), id_col)).where("__copies > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__m", "__copies", "__copy")
+def mixed(docs: DataFrame, model: DomainModel, weights: dict[str, float] | None = None, floor: float = FLOOR, ceiling: float = CEILING, id_col: str = "doc_id", text_col: str = "text", copy_col: str | None = None) -> DataFrame:
+    """Each row of docs as often as its rate says, with all its columns, whatever their names; `copy_col`, if given, is
+    added and numbers a row's copies from 1.
+
+    The fraction of a rate is drawn by a hash of the id, so repeated rows are drawn alike; null ids are one id. Null and
+    empty texts have posteriors from the classifier's bias. No rows give no rows. Texts are classified once: rows and
+    posteriors are cut together."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    judged = cut(docs.select(row, F.col(f"`{id_col}`").alias("id"), memberships(F.col(f"`{text_col}`"), model).alias("m")).select("row", "id", "m.tokens", "m.posteriors"))
+    mixture = fitted(judged.select("tokens", "posteriors"), model.domains, weights, floor, ceiling)
+    out = judged.select("row", copies_of(mixture.rate(F.col("posteriors")), "id").alias("copies")).where("copies > 0")
+    out = out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return out.select("row.*", *([F.col("copy").alias(copy_col)] if copy_col else []))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

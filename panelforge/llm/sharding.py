@@ -1,7 +1,7 @@
 """Sharding by a Feistel permutation with cycle walking over global row numbers.
 
 Every row has a number from 0 to n - 1: rows are in the order of (bucket, doc_id, size, checksum), where a bucket is a
-hash of the doc_id, so numbering needs one narrow shuffle and a table of bucket counts of fixed length, and no row
+hash of the doc_id (of size and checksum where it is null), so numbering needs one narrow shuffle and a table of bucket counts of fixed length, and no row
 passes through a single task. A keyed Feistel network over the rectangle a x b >= n permutes the numbers; results
 outside [0, n) are permuted again (cycle walking). From the permuted number p both the shard (p mod k) and the slot
 (p div k) can be computed, so counts differ by one at most, slots have no gap, and the shuffle can be reproduced.
@@ -25,8 +25,10 @@ BUCKET_DIGITS = 3  # hex digits: 4096 buckets
 SHORT_WALK = 64
 
 
-def _bucket(doc_id: Column) -> Column:
-    return F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, BUCKET_DIGITS)
+def _bucket(doc_id: Column, *more: Column) -> Column:
+    """Rows with an id by the id alone; those without one by what else orders them, so that they aren't one bucket."""
+    rest = F.concat_ws(":", F.lit("null"), *[m.cast("string") for m in more])
+    return F.substring(F.md5(F.coalesce(doc_id.cast("string"), rest).cast("binary")), 1, BUCKET_DIGITS)
 
 
 def _round(value: Column, r: int, seed: str) -> Column:
@@ -75,35 +77,39 @@ def walked(x: Column, n: int, seed: str = SEED) -> Column:
     return F.transform(F.array(once), finished)[0]
 
 
-def numbered(docs: DataFrame, order: list[str], id_col: str = "doc_id", number: str = "row_number") -> tuple[DataFrame, int]:
-    """docs with a dense global row number from 0, and the count of rows. `order` breaks ties of the id."""
-    spark = docs.sparkSession
-    counts = {r["b"]: r["n"] for r in docs.groupBy(_bucket(F.col(id_col)).alias("b")).agg(F.count("*").alias("n")).collect()}  # 4096 rows at most
+def numbered(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
+    """rows (doc_id, row, the columns of `order`) with `number`, a dense global row number from 0, and their count.
+    `order` breaks ties of the id."""
+    spark = rows.sparkSession
+    bucketed = rows.withColumn("bucket", _bucket(F.col("doc_id"), *map(F.col, order)))
+    counts = {r["bucket"]: r["n"] for r in bucketed.groupBy("bucket").agg(F.count("*").alias("n")).collect()}  # 4096 rows at most
     offsets, total = [], 0
     for b in sorted(counts):
         offsets.append((b, total))
         total += counts[b]
-    schema = T.StructType([T.StructField("__bucket", T.StringType()), T.StructField("__offset", T.LongType())])
-    by = Window.partitionBy("__bucket").orderBy(F.col(id_col).asc_nulls_first(), *order)
-    out = docs.withColumn("__bucket", _bucket(F.col(id_col))).withColumn("__rank", F.row_number().over(by).cast("long"))
-    out = out.join(F.broadcast(spark.createDataFrame(offsets, schema)), "__bucket")
-    return out.withColumn(number, F.col("__offset") + F.col("__rank") - F.lit(1).cast("long")).drop("__bucket", "__offset", "__rank"), total
+    schema = T.StructType([T.StructField("bucket", T.StringType()), T.StructField("offset", T.LongType())])
+    by = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), *order)
+    out = bucketed.withColumn("rank", F.row_number().over(by).cast("long")).join(F.broadcast(spark.createDataFrame(offsets, schema)), "bucket")
+    return out.withColumn("number", F.col("offset") + F.col("rank") - F.lit(1).cast("long")).drop("bucket", "offset", "rank"), total
 
 
-def placed(rows: DataFrame, order: list[str], shards: int = 40, seed: str = SEED, id_col: str = "doc_id") -> DataFrame:
-    """rows with `shard` and `slot`."""
-    out, n = numbered(rows, order, id_col, "__number")
-    out = out.withColumn("__place", walked(F.col("__number"), n, seed))
+def placed(rows: DataFrame, order: list[str], shards: int = 40, seed: str = SEED) -> DataFrame:
+    """rows (doc_id, row, the columns of `order`) with `shard` and `slot`."""
+    out, n = numbered(rows, order)
+    out = out.withColumn("place", walked(F.col("number"), n, seed))
     k = F.lit(shards).cast("long")
-    return out.withColumn("shard", F.pmod("__place", k).cast("int")).withColumn("slot", F.floor(F.col("__place") / k).cast("long")).drop("__place", "__number")
+    return out.withColumn("shard", F.pmod("place", k).cast("int")).withColumn("slot", F.floor(F.col("place") / k).cast("long")).drop("place", "number")
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """(doc_id, size, text_crc32), with `row`, a struct of all columns, if whole."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []
     return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         (F.octet_length(text).cast("long") + F.lit(16).cast("long")).alias("size"),
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
+        *row,
     )
 
 
@@ -111,25 +117,24 @@ def shard_table(docs: DataFrame, shards: int = 40, seed: str = SEED, id_col: str
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row, by the law `rows`.
 
     A null text has no bytes (size 16, checksum 0). Repeated rows are rows like others, each with a place of its own;
-    rows equal in id, size and checksum may swap places. Null ids come first in their bucket. The text doesn't decide
+    rows equal in id, size and checksum may swap places. Rows without an id are bucketed by size and checksum. The text doesn't decide
     the place, so groups of equal texts spread evenly. No rows give no rows."""
     out = placed(sized(docs, id_col, text_col), ["size", "text_crc32"], shards, seed)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def sharded(docs: DataFrame, shards: int = 40, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs with shard and slot; columns of docs with these names are replaced."""
-    docs = docs.drop("shard", "slot")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns({"__size": F.octet_length(text), "__crc": F.crc32(text.cast("binary"))})
-    return placed(keyed, ["__size", "__crc"], shards, seed, id_col).drop("__size", "__crc")
+    """All columns of docs with shard and slot; columns of docs with these two names are replaced, all others stay,
+    whatever their names. Null texts have no bytes, rows without an id are spread by size and checksum, repeated rows
+    each get a place of their own, and no rows give no rows."""
+    out = placed(sized(docs.drop("shard", "slot"), id_col, text_col, whole=True), ["size", "text_crc32"], shards, seed)
+    return out.select("row.*", "shard", "slot")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40, chunk_rows: int = 500_000, **kwargs: str) -> None:
     """Shard folders of Parquet files under path, each file in slot order, with chunk_rows rows at most."""
-    out = sharded(docs, shards, **kwargs)
-    chunk = F.floor(F.col("slot") / F.lit(chunk_rows))
-    out.withColumn("__chunk", chunk).repartition("shard", "__chunk").sortWithinPartitions("shard", "slot").drop("__chunk").write.partitionBy("shard").parquet(path)
+    out, chunk = sharded(docs, shards, **kwargs), F.floor(F.col("slot") / F.lit(chunk_rows))
+    out.repartition("shard", chunk).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +166,7 @@ d AS (
              lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda acc, z: xor(acc >> 8, t[xor(acc & 255, z) + 1])), 4294967295) AS text_crc32
   FROM (SELECT doc_id, text, hex(encode(coalesce(text, ''))) AS h FROM documents) CROSS JOIN poly),
 numbered AS (
-  SELECT *, row_number() OVER (ORDER BY substr(md5(coalesce(cast(doc_id AS VARCHAR), '')), 1, {BUCKET_DIGITS}), doc_id NULLS FIRST, size, text_crc32) - 1 AS x,
+  SELECT *, row_number() OVER (ORDER BY substr(md5(coalesce(cast(doc_id AS VARCHAR), 'null:' || size || ':' || text_crc32)), 1, {BUCKET_DIGITS}), doc_id NULLS FIRST, size, text_crc32) - 1 AS x,
          count(*) OVER () AS n FROM d),
 sided AS (SELECT *, (n + a - 1) // a AS b FROM (SELECT *, cast(ceil(sqrt(n)) AS BIGINT) AS a FROM numbered)),
 walk AS (

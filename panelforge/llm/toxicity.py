@@ -161,8 +161,12 @@ def toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_
 
 
 def without_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
-    """The rows of docs that aren't rejected, with all their columns."""
-    return docs.withColumn("__graded", graded(F.col(text_col), model)).where("__graded.grade = 0").drop("__graded")
+    """The rows of docs that aren't rejected, with all their columns, whatever their names.
+
+    Null and empty texts are judged by the thresholds alone; repeated rows are judged alike, and no rows give no
+    rows."""
+    modest_batches(docs.sparkSession)
+    return docs.where(graded(F.col(f"`{text_col}`"), model)["grade"] == 0)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,3 +89,15 @@ def test_reader_keeps_what_follows_foreign_elements():
     for tag in ("math", "object", "noscript"):
         assert " ".join(read(f"<p>one</p><{tag}>two</{tag}><p>three</p>")[1]).split() == ["one", "two", "three"], tag
     assert read("<p>one</p><svg><text>no</text></svg><script>no")[1] == ["one"]
+
+
+def test_deep_pages_take_linear_time(model):
+    import time
+
+    took = []
+    for depth in (2000, 8000):
+        page = "".join(f'<div class="c{i}">' for i in range(depth)) + "words of the page " * 9 + "</div>" * depth
+        began = time.process_time()
+        model.texts([page], H.Names())
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.5

@@ -253,3 +253,24 @@ def test_masking_of_repeated_and_null_ids(spark):
     assert out.columns == df.columns
     assert sorted((tuple(r)[:3] for r in out.collect()), key=str) == sorted([(1, "write to <email>", 5), data[1], (None, "at <email> now", 7), (None, "at <email> now", 7), data[4]], key=str)
     assert Counter((r.doc_id, r.spans, r.n_added) for r in pii.personal_data(df).collect()) == Counter([(1, "email:9:15", 0), (1, "", 0), (None, "email:3:9", 0), (None, "email:3:9", 0), (2, "", 0)])
+
+
+def test_sharding_keeps_columns_and_spreads_null_ids(spark):
+    df = spark.createDataFrame([(None if i % 2 else i, f"text {i}", i) for i in range(300)], "doc_id long, text string, __size long")
+    for name in ("bucket", "rank", "offset", "number", "place", "row", "size", "text_crc32"):
+        df = df.withColumn(name, F.lit(name))
+    out = sharding.sharded(df)
+    assert out.columns == [*df.columns, "shard", "slot"]
+    rows = out.collect()
+    assert sorted((r.shard, r.slot) for r in rows) == sorted((p % 40, p // 40) for p in range(300))
+    assert Counter(tuple(r)[:-2] for r in rows) == Counter(map(tuple, df.collect()))
+    buckets = sharding.sized(df).select(sharding._bucket(F.col("doc_id"), F.col("size"), F.col("text_crc32")).alias("b")).distinct().count()
+    assert buckets > 250
+
+
+def test_decontaminated_keeps_columns_and_repeated_rows(spark):
+    item = " ".join(f"b{i}" for i in range(14))
+    rows = [(1, item, "x"), (1, "other text", "y"), (None, None, "z"), (2, "", "z"), (3, "some text", "w"), (3, "some text", "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone string")
+    out = decontam.decontaminated(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert out.columns == df.columns and Counter(map(tuple, out.collect())) == Counter(rows[2:])

@@ -122,3 +122,32 @@ def test_pipeline_stages(spark):
     n = len(steps[3])
     assert sorted((r.shard, r.slot) for r in steps[4]) == sorted((p % 40, p // 40) for p in range(n))
     assert Counter(r.doc_id for r in steps[4]) == copies
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    sf = "/root/testdata/sf0.01"
+    some = spark.read.parquet(f"{sf}/documents.parquet").limit(30)
+    text = "a text that stands here twice and has words enough for some shingles"
+    odd = spark.createDataFrame([(None, None, "en", "s", 0), (None, "", None, None, 0), (5001, None, "en", "s", 0), (5002, text, "en", "s", 9), (5002, text, "en", "s", 9), (5003, text + " more", "en", "s", 9)], some.schema)
+    extra = {name: spark_lit(name) for name in ("gone", "row", "copies", "m", "node", "root", "__graded", "__copies", "number", "place")}
+    docs = some.unionByName(odd).withColumns(extra)
+    for name, frame in (("documents", docs), ("none", docs.limit(0))):
+        folder = tmp_path / name
+        frame.write.parquet(f"{folder}/documents.parquet")
+        for t in ("labels", "benchmark"):
+            spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(f"{folder}/{t}.parquet")
+        out = corpus_pipeline.run(spark, str(folder))
+        assert out.columns == [*docs.columns, "shard", "slot"]
+        rows = out.collect()
+        assert sorted((r.shard, r.slot) for r in rows) == sorted((p % 40, p // 40) for p in range(len(rows)))
+        if name == "none":
+            assert not rows
+            continue
+        kept = Counter((r.doc_id, r.text) for r in rows)
+        assert kept[None, None] and kept[None, ""] and kept[5001, None] and kept[5002, text] >= 2 and not kept[5003, text + " more"]
+
+
+def spark_lit(name):
+    from pyspark.sql import functions as F
+
+    return F.lit(name)

@@ -129,3 +129,78 @@ def test_mixing_reaches_a_rare_domain(spark):
     totals = mixing.fitted(members, ["common", "rare"]).totals()
     assert [d for d, *_ in totals] == ["common", "rare"] and totals[1][1] > 8 * 100
     assert all(reached == pytest.approx(target, rel=0.005) for _, target, reached in totals)
+
+
+def test_rates_equal_projected_gradient_by_rows(spark):
+    """The rates that follow from the stored steps against plain projected gradient descent with a rate for each row."""
+    from panelforge.llm import mixing
+
+    rng = np.random.default_rng(6)
+    t, p = rng.integers(0, 400, 300), rng.dirichlet([0.4, 0.4, 0.4], 300)
+    members = spark.createDataFrame([(k, int(a), [float(x) for x in b]) for k, (a, b) in enumerate(zip(t, p, strict=True))], "id long, tokens long, posteriors array<double>")
+    for floor, ceiling in ((0.0, np.inf), (0.5, 1.8)):
+        mix = mixing.fitted(members, ["a", "b", "c"], {"a": 0.6, "b": 0.3, "c": 0.1}, floor, ceiling)
+        got = np.array([r.rate for r in members.withColumn("rate", mix.rate(mixing.F.col("posteriors"))).orderBy("id").collect()])
+        total = (t[:, None] * p).sum(0).sum()
+        targets = np.array([0.6, 0.3, 0.1]) * max(total, float((floor * (t[:, None] * p).sum(0) / [0.6, 0.3, 0.1]).max()))
+        gram = (t[:, None] * p).T @ p
+        weigh, rate = np.linalg.inv(gram + 1e-9 * np.trace(gram) * np.eye(3)), np.ones(300)
+        for _ in mix.steps:
+            rate = np.clip(rate - p @ (weigh @ (rate * t @ p - targets)), floor, ceiling)
+        assert np.allclose(got, rate, atol=1e-6) and np.allclose(mix.targets, targets)
+        assert np.allclose([x for _, _, x in mix.totals()], rate * t @ p, rtol=1e-6)
+
+
+def test_mixing_of_repeated_null_and_clashing_rows(spark):
+    from panelforge.llm import mixing
+
+    rows = [(i % 20 if i % 7 else None, None if i % 5 == 0 else f"la casa {i % 20} " * 9 if i % 2 else f"the house {i % 20} " * 4, None if i % 3 == 0 else "xy"[i % 2], 1, 2) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, copies int, row int")
+    labels = spark.createDataFrame([(i, 1) for i in range(20)] * 2, "doc_id long, quality int")
+    model = mixing.trained(docs, labels)
+    assert model.domains[0] == ""
+    out = mixing.mixed(docs, model, {"x": 3.0, "y": 1.0}, copy_col="copy")
+    assert out.columns == [*docs.columns, "copy"]
+    want = {}
+    for r in mixing.rates(docs, model, {"x": 3.0, "y": 1.0}).collect():
+        want[r.doc_id, r.tokens] = max(r.copies, want.get((r.doc_id, r.tokens), 0))
+    seen = {}
+    for r in out.collect():
+        seen.setdefault((r.doc_id, len((r.text or "").split())), set()).add(r.copy)
+    assert seen == {k: set(range(1, c + 1)) for k, c in want.items() if c}
+
+
+def test_severity_equals_a_sum_of_weights(spark):
+    """Scores recomputed without the memo, and the likelihood's gradient is near nought where the fit ended."""
+    model = toxicity.OrdinalModel(np.array([f for w in ("bad", "worse") for f in toxicity.features_of(w)[:1]]), np.array([2.0, 3.0]), np.array([1.0, 2.5, 4.5]))
+    texts = ["bad", "BAD bad worse!", "fine", None, "", "worse"] * 2
+    rows = toxicity.toxicity(spark.createDataFrame([(k % 3, t, 0) for k, t in enumerate(texts)], "doc_id long, text string, __graded int"), model).collect()
+    for t, r in zip(texts, rows, strict=True):
+        words = set((t or "").lower().replace("!", "").split())
+        z = 2.0 * ("bad" in words) + 3.0 * ("worse" in words)
+        p = [1 / (1 + np.exp(c - z)) for c in (1.0, 2.5, 4.5)]
+        assert r.severity == pytest.approx(sum(p)) and r.grade == sum(x >= 0.5 for x in p) and r.p_toxic == pytest.approx(p[0])
+    clash = spark.createDataFrame([(1, "bad", 5), (1, "fine", 5), (None, None, 6)], "doc_id long, text string, __graded int")
+    assert [tuple(r) for r in toxicity.without_toxic(clash, model).collect()] == [(1, "fine", 5), (None, None, 6)]
+
+
+def test_additive_scores_by_hand():
+    """Lookup tables against one row at a time, and a fit that finds a planted interaction."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, len(quality.FEATURES)))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
+    model = quality.fit(x, y)
+    assert (0, 1) in model.pairs and np.mean((model.score(x) > 0.5) == (y > 0)) > 0.9
+    for row, s in zip(x[:40], model.score(x[:40]), strict=True):
+        z = model.base + sum(t[sum(v >= e for e in edges)] for v, edges, t in zip(row, model.edges, model.tables, strict=True))
+        z += sum(t[sum(row[f] >= e for e in model.pair_edges[f]), sum(row[g] >= e for e in model.pair_edges[g])] for (f, g), t in model.pairs.items())
+        assert s == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_samples_of_repeated_documents(spark):
+    from panelforge.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(i % 20, f"t{i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 20, i % 2) for i in range(40)], "doc_id long, toxic int")
+    got = labelled_sample(docs, labels, "toxic", 1000).collect()
+    assert len(got) == 20 and all(r.text == min(f"t{r.doc_id + k}" for k in (0, 20, 40)) for r in got)
