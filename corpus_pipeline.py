@@ -2,7 +2,11 @@
 
 All stages but the last return the columns of their input: toxic documents go, one document of each group of near
 duplicates stays, contaminated documents go, and documents are repeated so that expected domain tokens reach their
-targets (no document is lost: rates are one at least). The last adds shard and slot."""
+targets (no document is lost: rates are one at least, unless another floor is given). The last adds shard and slot.
+
+Every stage takes null and empty texts, null ids, repeated rows, empty tables and further columns of any name: texts that
+are null or without words are neither toxic nor near duplicates nor contaminated, rows without an id stay, and each of
+several equal rows is treated alike. Rows that share an id are one document for the second and third stage."""
 
 from __future__ import annotations
 
@@ -28,8 +32,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs, mixing.trained(docs, table(spark, sf_dir, "labels")), floor=1.0)
+def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str, weights: dict[str, float] | None = None, floor: float = 1.0, copy_col: str | None = None) -> DataFrame:
+    """Target weights by domain, the least rate, and a column for the number of a copy are the caller's choice; the
+    pipeline keeps the columns of its input and drops no document."""
+    return mixing.mixed(docs, mixing.trained(docs, table(spark, sf_dir, "labels")), weights, floor=floor, copy_col=copy_col)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
