@@ -54,11 +54,19 @@ def security_fold(id_: Column, folds: int = 5) -> Column:
     return F.pmod(id_, F.lit(folds)).cast("int")
 
 
-def bootstrap_months(months: list, seed: int, bag: int, block: int = 3) -> list:
-    """Circular blocks of months, as many as there are, from a seed of their own for each bag."""
+def bootstrap_months(months: list, anchor: int, bag: int, block: int = 3, seed: int = 1) -> list:
+    """Circular blocks of months, as many as there are; each anchor (a month number) and bag has draws of its own."""
     import numpy as np
 
     n = len(months)
-    rng = np.random.default_rng(np.random.SeedSequence([seed, n, bag]))
-    starts = rng.integers(0, n, -(-n // block))
+    if not n:
+        return []
+    rng = np.random.default_rng(np.random.SeedSequence([seed, anchor, bag]))
+    starts = rng.integers(0, n, size=-(-n // block))
     return [months[(s + k) % n] for s in starts for k in range(block)][:n]
+
+
+def expanding_fold(d: Column, last: Column, first: int, folds: int = 5) -> Column:
+    """Blocks of the calendar from the first month to the latest one known, a column: the span grows with it."""
+    span = F.greatest(F.lit(1), last - first)
+    return F.least(F.lit(folds - 1), F.floor((month_number(d) - first) * folds / span).cast("int"))

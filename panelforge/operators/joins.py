@@ -48,3 +48,35 @@ def as_of(left: DataFrame, right: DataFrame, time: str, right_time: str, value:
 def combined(left: DataFrame, right: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Full outer join with missing values as 0."""
     return left.join(right, keys, "full").fillna(0.0, values)
+
+
+def required(df: DataFrame, columns: list[str], what: str) -> DataFrame:
+    """df, whose rows raise when read if one of the columns is null: a check that costs no job of its own."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.raise_error(F.lit(f"{what}: {c} is missing"))) for c in columns})
+
+
+def looked_up(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], what: str = "lookup") -> DataFrame:
+    """Left join that raises where a row finds no value: keys of right are unique, so rows stay as they are."""
+    check_unique(right, keys)
+    return required(left.join(right.select(*keys, *values), keys, "left"), values, what)
+
+
+def with_codes(panel: DataFrame, codes: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join that attaches a classifier code; rows without one go."""
+    check_unique(codes, keys)
+    return panel.join(codes, keys)
+
+
+def dated(rows: DataFrame, by_date: DataFrame) -> DataFrame:
+    """Left join on the date, one row a date on the right, which is small: a calendar's worth."""
+    check_unique(by_date, ["date"])
+    return rows.join(F.broadcast(by_date), "date", "left")
+
+
+def same_keys(keys: list[str], *frames: DataFrame) -> None:
+    """Raises unless all have the same unique keys."""
+    first = frames[0]
+    for df in frames:
+        check_unique(df, keys)
+        if df is not first and not uncovered(first, df, keys).isEmpty():
+            raise ValueError(f"{keys} must be the same in all tables")

@@ -1,15 +1,21 @@
 """Moments of ordered vectors, as long (i, j, v) tables.
 
-A row has a group, a place in time and an array of K values. Products are formed inside the row and summed with partial
-aggregation, so a pass over n rows shuffles K(K+1)/2 sums a task, not rows."""
+A row has a group, a place in time and an array of K values. Each task multiplies whole Arrow batches (X'WX for each
+group in them) and gives out the upper triangles of its groups once, so n rows become K(K+1)/2 sums a task and group."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 GROUP = "g"
+HELD_BYTES = 64_000_000  # of a task's products; beyond that they are given out and begun anew
 
 
 def aged(rows: DataFrame, time: str, last: int | None = None) -> DataFrame:
@@ -27,24 +33,57 @@ def hyperbolic(half_life: float, power: float = 2.0) -> Column:
     return F.pow(F.lit(1.0) + F.col("age") / F.lit(tau), F.lit(-float(power)))
 
 
-def pair_sums(rows: DataFrame, weight: Column, value: str = "f", keys: list[str] | None = None) -> DataFrame:
-    """(keys, i, j, s) with s the sum of weight * x_i * x_j for i <= j."""
-    keys = keys or [GROUP]
-    f = F.col(value)
+def _summed(rows: DataFrame, weight: Column, value: str, keys: list[str], squares: bool) -> DataFrame:
+    """(keys, i, j, s) partial sums of w * x_i * x_j for i <= j, or (keys, i, s) of w * x_i; nulls count as 0."""
+    bare = rows.select(*keys, weight.cast("double").alias("__w"), F.transform(value, lambda x: F.coalesce(x.cast("double"), F.lit(0.0))).alias("__x"))
+    names = ["i", "j"] if squares else ["i"]
+    schema = T.StructType([*[bare.schema[k] for k in keys], *[T.StructField(n, T.IntegerType()) for n in names], T.StructField("s", T.DoubleType())])
+    at = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        kinds: list[pa.DataType] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for key, m in sums.items():
+                index = np.triu_indices(len(m)) if squares else (np.arange(len(m)),)
+                n = len(index[0])
+                columns = [pa.array([k], kind).take(pa.array(np.zeros(n, np.int64))) for k, kind in zip(key, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x.astype(np.int32)) for x in index), pa.array(m[index])], names=[*keys, *names, "s"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kinds = [batch.column(k).type for k in range(at)]
+            w, lists = batch.column(at).to_numpy(zero_copy_only=False), batch.column(at + 1)
+            x = lists.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            of: dict[tuple, list[int]] = {}
+            for row, key in enumerate(zip(*(batch.column(k).to_pylist() for k in range(at)), strict=True) if at else [()] * batch.num_rows):
+                of.setdefault(key, []).append(row)
+            for key, at_rows in of.items():
+                part, v = (x, w) if len(of) == 1 else (x[at_rows], w[at_rows])
+                sums[key] = sums.get(key, 0.0) + ((part * v[:, None]).T @ part if squares else v @ part)
+            if sum(m.nbytes for m in sums.values()) > HELD_BYTES:
+                yield from out()
+                sums.clear()
+        yield from out()
+
+    return bare.mapInArrow(run, schema)
 
-    def with_rest(x: Column, i: Column) -> Column:
-        return F.transform(F.slice(f, i + 1, F.size(f)), lambda y, k: F.struct(i.alias("i"), (i + k).alias("j"), (x * y).alias("p")))
 
-    pairs = rows.withColumn("__w", weight).select(*keys, "__w", F.inline(F.flatten(F.transform(f, with_rest))))
-    return pairs.groupBy(*keys, "i", "j").agg(F.sum(F.col("__w") * F.col("p")).alias("s"))
+def pair_sums(rows: DataFrame, weight: Column, value: str = "f", keys: list[str] | None = None) -> DataFrame:
+    """(keys, i, j, s) with s the sum of weight * x_i * x_j for i <= j. All rows have arrays of the same length."""
+    keys = keys or [GROUP]
+    return _summed(rows, weight, value, keys, True).groupBy(*keys, "i", "j").agg(F.sum("s").alias("s"))
 
 
 def means(rows: DataFrame, weight: Column, value: str = "f", keys: list[str] | None = None) -> DataFrame:
     """(keys, m) with m the array of weighted means."""
     keys = keys or [GROUP]
-    each = rows.withColumn("__w", weight).select(*keys, "__w", F.posexplode(value).alias("i", "x"))
-    each = each.groupBy(*keys, "i").agg((F.sum(F.col("__w") * F.col("x")) / F.sum("__w")).alias("m"))
-    return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("m"))
+    total = rows.groupBy(*keys).agg(F.sum(weight).alias("__sw"))
+    sums = _summed(rows, weight, value, keys, False).groupBy(*keys, "i").agg(F.sum("s").alias("s"))
+    sums = sums.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]).alias("m"))
+    return sums.join(total, keys).select(*keys, F.transform("m", lambda x: x / F.col("__sw")).alias("m"))
 
 
 def centred(rows: DataFrame, weight: Column, keys: list[str] | None = None) -> DataFrame:

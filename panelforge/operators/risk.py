@@ -91,8 +91,9 @@ def equal_weight_proxy(days: DataFrame, value: str = "ret_exc") -> DataFrame:
 
 
 def cap_weight_proxy(days: DataFrame, caps: DataFrame, value: str = "ret_exc", cap: str = "capital") -> DataFrame:
-    """(date, ret, observed, valid, valid_fraction, capital, weighting), weighted by the month before's capital; equal
-    weights on days without a valid one. Capital is scaled by the day's largest before it is summed."""
+    """(date, ret, observed, valid, valid_fraction, capital, weighting) of days with two stocks or more, weighted by the
+    month before's capital; equal weights on days without a valid one. Capital is scaled by the day's largest before it
+    is summed. Rows raise when read if capital isn't finite or a return isn't above -1."""
     joined = days.withColumn("eom", F.last_day(F.add_months("date", -1))).join(caps.select("id", "eom", F.col(cap).alias("cap")), ["id", "eom"], "left")
     valid = (F.col("cap") > 0) & (F.col("cap") < float("inf"))
     joined = joined.withColumn("cap", F.when(valid, F.col("cap"))).withColumn("top", F.max("cap").over(Window.partitionBy("date")))
@@ -103,7 +104,9 @@ def cap_weight_proxy(days: DataFrame, caps: DataFrame, value: str = "ret_exc", c
         F.count("cap").alias("valid"),
         (F.count("cap") / F.count("*")).alias("valid_fraction"),
         F.coalesce(F.sum("cap"), F.lit(0.0)).alias("capital"),
-    )
+    ).where("observed > 1")
+    wrong = ~((F.col("ret") > -1) & (F.col("ret") < float("inf")) & (F.col("capital") < float("inf")))
+    out = out.withColumn("ret", F.when(F.coalesce(wrong, F.lit(True)), F.raise_error(F.lit("the proxy needs finite capital and returns above -1"))).otherwise(F.col("ret")))
     return out.withColumn("weighting", F.when(F.col("valid") > 0, "market_cap").otherwise("equal_no_valid_cap"))
 
 
@@ -143,14 +146,14 @@ def section_penalty_scores(days: DataFrame, b: DataFrame, penalties: list[float]
 
 
 def chosen_section_penalties(scores: DataFrame, years: list[int], months: int = 120) -> DataFrame:
-    """(year, penalty): for each year, the least mean squared error over the last scored day of each of the months
-    before it; ties go to the smallest."""
+    """(year, penalty): for each year, the least mean over days of the held-out mean squared error, of the last scored
+    day of each of the months before it, days alike; ties go to the smallest."""
     day = scores.where("n > 0").withColumn("eom", F.last_day("date"))
     last = day.groupBy("eom").agg(F.max("date").alias("date"))
     wanted = scores.sparkSession.createDataFrame([(y,) for y in years], "year int")
     known = day.join(F.broadcast(last), ["eom", "date"]).join(F.broadcast(wanted), F.year("eom") < F.col("year"))  # a row a month and penalty
     recent = known.withColumn("age", F.dense_rank().over(Window.partitionBy("year").orderBy(F.desc("eom")))).where(F.col("age") <= months)
-    total = recent.groupBy("year", "penalty").agg((F.sum("sse") / F.sum("n")).alias("mse"))
+    total = recent.groupBy("year", "penalty").agg(F.avg(F.col("sse") / F.col("n")).alias("mse"))
     return total.groupBy("year").agg(F.min_by("penalty", F.struct("mse", "penalty")).alias("penalty"))
 
 

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.calendar import forecast_year, month_end, month_number, next_month_end
-from ..functions.values import INDUSTRIES, SIC_RANGES, finite, flag, industry, sic_ranges
+from ..functions.values import INDUSTRIES, SIC_RANGES, finite, flag, industry
 from ..operators import allocation, evaluation, folds, joins, moments, ranks, risk
 from ..sources import demo, panel
 from ..sources.demo import CELLS_SQL, DAYS_SQL, FEATURES, MONTHLY_SQL
@@ -103,7 +102,7 @@ def pf9(spark: SparkSession, sf: str) -> DataFrame:
     return demo.table(spark, sf, "orders").select("o_orderkey", flag(text).alias("flag"))
 
 
-_SIC_SQL = "CASE " + " ".join(f"WHEN {' OR '.join(f'v BETWEEN {a} AND {b}' for a, b in sic_ranges(n))} THEN '{n}'" for n in SIC_RANGES) + " ELSE 'Other' END"
+_SIC_SQL = "CASE " + " ".join(f"WHEN {' OR '.join(f'v BETWEEN {a} AND {b}' for a, b in SIC_RANGES[n])} THEN '{n}'" for n in SIC_RANGES) + " ELSE 'Other' END"
 
 
 @query(
@@ -324,20 +323,18 @@ def cv7(spark: SparkSession, sf: str) -> DataFrame:
 # --- moments -------------------------------------------------------------------------------------------------------
 
 
-def vectors(spark: SparkSession, sf: str, k: int | None = 3) -> DataFrame:
-    """Embeddings as a stream of factor vectors in the order of their ids: their first k coordinates, as the SQL has
-    them, or all."""
-    f = F.col("embedding").cast("array<double>")
-    e = demo.table(spark, sf, "embeddings").select(F.lit(0).alias("g"), "vec_id", (f if k is None else F.slice(f, 1, k)).alias("f"))
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings as a stream of factor vectors in the order of their ids."""
+    e = demo.table(spark, sf, "embeddings").select(F.lit(0).alias("g"), "vec_id", F.col("embedding").cast("array<double>").alias("f"))
     return moments.aged(e, "vec_id").withColumn("market", F.element_at("f", 1) - F.element_at("f", 2))
 
 
-_VECTORS = "v AS (SELECT *, row_number() OVER (ORDER BY vec_id DESC) AS age FROM (SELECT vec_id, embedding[1:3]::DOUBLE[] AS f FROM embeddings))"
+_VECTORS = "v AS (SELECT *, row_number() OVER (ORDER BY vec_id DESC) AS age FROM (SELECT vec_id, embedding::DOUBLE[] AS f FROM embeddings))"
 
 
 def _cov_sql(name: str, weight: str, source: str = "v", unbiased: bool = True) -> str:
     part = "(1 - sum(w * w) / (sum(w) * sum(w)))" if unbiased else "1"
-    return f"""{name}_w AS (SELECT vec_id, f, {weight} AS w FROM {source}), {name}_u AS (SELECT vec_id, w, unnest(range(3)) AS i, unnest(f) AS x FROM {name}_w),
+    return f"""{name}_w AS (SELECT vec_id, f, {weight} AS w FROM {source}), {name}_u AS (SELECT vec_id, w, unnest(range(64)) AS i, unnest(f) AS x FROM {name}_w),
 {name}_c AS (SELECT vec_id, w, i, x - (sum(w * x) OVER (PARTITION BY i)) / (sum(w) OVER (PARTITION BY i)) AS x FROM {name}_u),
 {name} AS (SELECT a.i AS i, b.i AS j, sum(a.w * a.x * b.x) / sum(a.w) / {part.replace("w", "a.w") if unbiased else part} AS v FROM {name}_c a JOIN {name}_c b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY ALL)"""
 
@@ -352,50 +349,50 @@ def _rounded(df: DataFrame, *more: str) -> DataFrame:
 
 
 @query("rk6_weighted_covariance", f"WITH {_VECTORS}, {_cov_sql('cor', _EXP(84))} SELECT i, j, round(v, 9) AS v FROM cor")
-def rk6(spark: SparkSession, sf: str, k: int | None = 3) -> DataFrame:
-    return _rounded(moments.covariance(vectors(spark, sf, k), moments.exponential(84)))
+def rk6(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(moments.covariance(vectors(spark, sf), moments.exponential(84)))
 
 
 @query("rk7_factor_covariance", f"WITH {_VECTORS}, {_cov_sql('cor', _EXP(504))}, {_cov_sql('var', _EXP(84))} {_COMBINE}")
-def rk7(spark: SparkSession, sf: str, k: int | None = 3) -> DataFrame:
-    return _rounded(moments.factor_covariance(vectors(spark, sf, k), moments.exponential(504), moments.exponential(84)))
+def rk7(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(moments.factor_covariance(vectors(spark, sf), moments.exponential(504), moments.exponential(84)))
 
 
 @query(
     "rk9_ledoit_wolf",
     f"""WITH {_VECTORS}, {_cov_sql('emp', '1.0', unbiased=False)}, t AS (SELECT sum(CASE WHEN i = j THEN v END) AS trace, sum(CASE WHEN i = j THEN 1 ELSE 2 END * v * v) AS sq FROM emp),
 q AS (SELECT avg(n2 * n2) AS fourth, count(*) AS n FROM (SELECT vec_id, sum(x * x) AS n2 FROM emp_c GROUP BY vec_id)),
-a AS (SELECT trace, CASE WHEN sq - trace * trace / 3 <= 0 THEN 0 ELSE least(1, greatest(0, ((fourth - sq) / (3 * n)) / ((sq - trace * trace / 3) / 3))) END AS alpha FROM t, q)
-SELECT i, j, round((1 - alpha) * v + CASE WHEN i = j THEN alpha * trace / 3 ELSE 0 END, 9) AS v, round(alpha, 9) AS intensity FROM emp, a""",
+a AS (SELECT trace, CASE WHEN sq - trace * trace / 64 <= 0 THEN 0 ELSE least(1, greatest(0, ((fourth - sq) / (64 * n)) / ((sq - trace * trace / 64) / 64))) END AS alpha FROM t, q)
+SELECT i, j, round((1 - alpha) * v + CASE WHEN i = j THEN alpha * trace / 64 ELSE 0 END, 9) AS v, round(alpha, 9) AS intensity FROM emp, a""",
 )
-def rk9(spark: SparkSession, sf: str, k: int | None = 3) -> DataFrame:
-    return moments.ledoit_wolf(vectors(spark, sf, k)).select("i", "j", r("v", 9).alias("v"), r("intensity", 9).alias("intensity"))
+def rk9(spark: SparkSession, sf: str) -> DataFrame:
+    return moments.ledoit_wolf(vectors(spark, sf)).select("i", "j", r("v", 9).alias("v"), r("intensity", 9).alias("intensity"))
 
 
-@query("rk10_empirical_covariance", "SELECT i, j, round(v, 9) AS v FROM (SELECT unnest([0, 0, 0, 1, 1, 2]) AS i, unnest([0, 1, 2, 1, 2, 2]) AS j, unnest([covar_pop(a, a), covar_pop(a, b), covar_pop(a, c), covar_pop(b, b), covar_pop(b, c), covar_pop(c, c)]) AS v FROM (SELECT embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings))")
-def rk10(spark: SparkSession, sf: str, k: int | None = 3) -> DataFrame:
-    return _rounded(moments.covariance(vectors(spark, sf, k), unbiased=False))
+@query("rk10_empirical_covariance", f"WITH {_VECTORS}, u AS (SELECT vec_id, unnest(range(64)) AS i, unnest(f) AS x FROM v) SELECT a.i, b.i AS j, round(covar_pop(a.x, b.x), 9) AS v FROM u a JOIN u b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY ALL")
+def rk10(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(moments.covariance(vectors(spark, sf), unbiased=False))
 
 
 @query("rk14_hyperbolic_covariance", f"WITH {_VECTORS}, {_cov_sql('cor', 'power(1 + age / (504 / (sqrt(2.0) - 1)), -2)')}, {_cov_sql('var', _EXP(84))} {_COMBINE}")
-def rk14(spark: SparkSession, sf: str, k: int | None = 3) -> DataFrame:
-    return _rounded(moments.factor_covariance(vectors(spark, sf, k), moments.hyperbolic(504), moments.exponential(84)))
+def rk14(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(moments.factor_covariance(vectors(spark, sf), moments.hyperbolic(504), moments.exponential(84)))
 
 
 @query("rk13_hyperbolic_variance", f"WITH {_VECTORS}, {_cov_sql('cor', _EXP(504))}, {_cov_sql('var', '1 / (1 + age / 42.0)')} {_COMBINE}")
-def rk13(spark: SparkSession, sf: str, k: int | None = 3) -> DataFrame:
-    return _rounded(moments.factor_covariance(vectors(spark, sf, k), moments.exponential(504), moments.hyperbolic(42, 1.0)))
+def rk13(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(moments.factor_covariance(vectors(spark, sf), moments.exponential(504), moments.hyperbolic(42, 1.0)))
 
 
 @query("rk17_drawdown_conditioned", f"WITH {_VECTORS}, b AS (SELECT * FROM v WHERE 1 - (age % 20) / 100.0 <= 0.9), {_cov_sql('cor', _EXP(504), 'b')}, {_cov_sql('var', _EXP(84), 'b')} {_COMBINE}")
-def rk17(spark: SparkSession, sf: str, k: int | None = 3) -> DataFrame:
-    rows = vectors(spark, sf, k).withColumn("drawdown", (F.col("age") % 20) / F.lit(100.0))
+def rk17(spark: SparkSession, sf: str) -> DataFrame:
+    rows = vectors(spark, sf).withColumn("drawdown", (F.col("age") % 20) / F.lit(100.0))
     return _rounded(moments.drawdown_conditioned(rows, 0.3, 0.10, moments.exponential(504), moments.exponential(84)))
 
 
-@query("rk18_downside_semimoment", f"WITH {_VECTORS}, u AS (SELECT vec_id, unnest(range(3)) AS i, least(unnest(f), 0) AS x FROM v) SELECT a.i, b.i AS j, round(sum(a.x * b.x) / (SELECT count(*) FROM v), 9) AS v FROM u a JOIN u b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY ALL")
-def rk18(spark: SparkSession, sf: str, k: int | None = 3) -> DataFrame:
-    return _rounded(moments.second_moment(vectors(spark, sf, k), downside=True))
+@query("rk18_downside_semimoment", f"WITH {_VECTORS}, u AS (SELECT vec_id, unnest(range(64)) AS i, least(unnest(f), 0) AS x FROM v) SELECT a.i, b.i AS j, round(sum(a.x * b.x) / (SELECT count(*) FROM v), 9) AS v FROM u a JOIN u b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY ALL")
+def rk18(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(moments.second_moment(vectors(spark, sf), downside=True))
 
 
 @query(
@@ -403,13 +400,8 @@ def rk18(spark: SparkSession, sf: str, k: int | None = 3) -> DataFrame:
     f"""WITH {_VECTORS}, neg AS (SELECT * FROM v WHERE f[1] - f[2] < 0), pos AS (SELECT * FROM v WHERE f[1] - f[2] >= 0), {_cov_sql('a', '1.0', 'v', False)}, {_cov_sql('n', '1.0', 'neg', False)}, {_cov_sql('p', '1.0', 'pos', False)},
 o AS (SELECT 'all' AS state, * FROM a UNION ALL SELECT 'negative', * FROM n UNION ALL SELECT 'nonnegative', * FROM p UNION ALL SELECT 'balanced', n.i, n.j, (n.v + p.v) / 2 FROM n JOIN p ON n.i = p.i AND n.j = p.j) SELECT state, i, j, round(v, 9) AS v FROM o""",
 )
-def rk19(spark: SparkSession, sf: str, k: int | None = 3) -> DataFrame:
-    return _rounded(moments.conditional_covariances(vectors(spark, sf, k)), "state")
-
-
-# The same over whole vectors, tested against NumPy: a query and its SQL above have three coordinates.
-for _name, _f in {"rk6_weighted_covariance": rk6, "rk7_factor_covariance": rk7, "rk9_ledoit_wolf": rk9, "rk10_empirical_covariance": rk10, "rk13_hyperbolic_variance": rk13, "rk14_hyperbolic_covariance": rk14, "rk17_drawdown_conditioned": rk17, "rk18_downside_semimoment": rk18, "rk19_conditional_covariance": rk19}.items():
-    query(f"{_name}_whole")(partial(_f, k=None))
+def rk19(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(moments.conditional_covariances(vectors(spark, sf)), "state")
 
 
 # --- risk ----------------------------------------------------------------------------------------------------------
@@ -424,7 +416,7 @@ def rk27(spark: SparkSession, sf: str) -> DataFrame:
     "rk28_cap_weight_proxy",
     f"""WITH {DAYS_SQL}, {CELLS_SQL}, j AS (SELECT d.*, c.capital FROM days d LEFT JOIN cells c ON c.id = d.id AND c.eom = CAST(date_trunc('month', d.date) AS DATE) - 1)
 SELECT date, round(coalesce(sum(ret_exc * capital) / sum(capital), avg(ret_exc)), 8) AS ret, count(*) AS observed, count(capital) AS valid, round(count(capital) / count(*), 8) AS valid_fraction,
-round(coalesce(sum(capital), 0), 2) AS capital, CASE WHEN count(capital) > 0 THEN 'market_cap' ELSE 'equal_no_valid_cap' END AS weighting FROM j GROUP BY date""",
+round(coalesce(sum(capital), 0), 2) AS capital, CASE WHEN count(capital) > 0 THEN 'market_cap' ELSE 'equal_no_valid_cap' END AS weighting FROM j GROUP BY date HAVING count(*) > 1""",
 )
 def rk28(spark: SparkSession, sf: str) -> DataFrame:
     out = risk.cap_weight_proxy(demo.days(spark, sf), demo.cells(spark, sf))

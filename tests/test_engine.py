@@ -196,7 +196,7 @@ def test_trees(spark):
     train = trees.assembled(p, ["a", "b", "c"])
     model, record = trees.two_stage(train, "fold", [{"maxDepth": 1}, {"maxDepth": 2}], (5, 0.3), (8, 0.3))
     assert record["trees"] >= 1 and model.transform(train).agg(F.avg(F.pow(F.col("label") - F.col("pred"), 2))).first()[0] < 0.5
-    mean = trees.bagged(train, train, {"maxDepth": 2}, 3, 0.3, bags=2)
+    mean = trees.bagged(train, train, {"maxDepth": 2}, 3, 0.3, 2020 * 12, bags=2)
     assert mean.count() == 600 and trees.blended(mean, mean).join(mean.withColumnRenamed("pred", "q"), ["id", "eom"]).where("abs(pred - q) > 1e-12").count() == 0
     scores, names = trees.principal_features(p, p, ["a", "b", "c"], 0.5)
     assert 1 <= len(names) <= 3 and set(names) <= set(scores.columns)
@@ -318,7 +318,7 @@ def test_whole_vector_moments(spark):
         "rk19_conditional_covariance": np.cov(x[down].T, ddof=0),
     }
     for name, m in want.items():
-        got = queries.QUERIES[f"{name}_whole"](spark, SF).toPandas()
+        got = queries.QUERIES[name](spark, SF).toPandas()
         got = got[got["state"] == "negative"] if "state" in got else got
         assert len(got) == k * (k + 1) // 2 == 2080, name
         assert np.allclose(got["v"], m[got["i"], got["j"]], atol=2e-9), name
