@@ -84,9 +84,9 @@ def industry_sleeves(risk: DataFrame, combine: str = "equal", target: float = 0.
     return per_month(risk, weigh)
 
 
-def penalty_bank(risk: DataFrame, outcomes: DataFrame, penalties: list[float] | None = None, target: float = 0.10) -> DataFrame:
-    """(eom, eom_ret, q, minimum, markowitz): what each candidate's portfolio of a month returns. It depends on weights
-    only, not on the selection, so it is one pass."""
+def penalised_weights(risk: DataFrame, penalties: list[float] | None = None, target: float = 0.10) -> DataFrame:
+    """(eom, id, q, minimum, markowitz): each candidate's portfolios of a month; q is in units of the month's median
+    stock variance."""
     grid = penalties or PENALTIES
 
     def run(batches):  # noqa: ANN001, ANN202
@@ -96,18 +96,109 @@ def penalty_bank(risk: DataFrame, outcomes: DataFrame, penalties: list[float] |
                 b = np.array([np.asarray(x) for x in r.loading], float).reshape(len(d), -1)
                 scale = float(np.median(d + (b**2).sum(1)))
                 for q in grid:
-                    yield pd.DataFrame({"eom": r.eom, "id": r.ids, "q": q, "w_min": linalg.minimum_variance(d + q * scale, b), "w_mar": linalg.markowitz(mu, d, b, target, q)})
+                    yield pd.DataFrame({"eom": r.eom, "id": r.ids, "q": q, "minimum": linalg.minimum_variance(d + q * scale, b), "markowitz": linalg.markowitz(mu, d, b, target, q)})
+
+    return risk.select("eom", "ids", "mu", "diagonal", "loading").mapInPandas(run, "eom date, id long, q double, minimum double, markowitz double")
 
-    weights = risk.select("eom", "ids", "mu", "diagonal", "loading").mapInPandas(run, "eom date, id long, q double, w_min double, w_mar double")
+
+def penalty_bank(weights: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(eom, eom_ret, q, minimum, markowitz): what each candidate's portfolio of a month returns. It depends on weights
+    only, not on the selection, so it is one pass."""
     joined = weights.join(outcomes, ["id", "eom"])
-    return joined.groupBy("eom", "eom_ret", "q").agg(F.sum(F.col("w_min") * F.col("label")).alias("minimum"), F.sum(F.col("w_mar") * F.col("label")).alias("markowitz"))
+    return joined.groupBy("eom", "eom_ret", "q").agg(F.sum(F.col("minimum") * F.col("label")).alias("minimum"), F.sum(F.col("markowitz") * F.col("label")).alias("markowitz"))
+
+
+def penalised_loop(risk: DataFrame, outcomes: DataFrame, value: str = "markowitz", penalties: list[float] | None = None, months: int = 120) -> DataFrame:
+    """(id, eom, q, w): each formation has the penalty that the payoffs released by then choose. Candidates don't depend
+    on the choice, so all months' candidates are made at once and the chosen ones picked by a join."""
+    candidates = penalised_weights(risk, penalties).persist()
+    bank = penalty_bank(candidates, outcomes)
+    chosen = selected_penalties(bank, candidates.select(F.col("eom").alias("formation")).distinct(), value, "sharpe" if value == "markowitz" else "variance", months)
+    picked = chosen.select(F.col("formation").alias("eom"), "q")
+    return candidates.join(F.broadcast(picked), ["eom", "q"]).select("id", "eom", "q", F.col(value).alias("w"))
+
+
+def rescaled(risk: DataFrame, target: float = 0.10, penalty: float = 0.0) -> DataFrame:
+    """(eom, id, native, reference): Markowitz portfolios of changed risk, sized by that risk and by the reference's.
+    Rows have `reference` loadings beside `loading`; a penalty is in units of the reference's median stock variance."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for frame in batches:
+            for r in frame.itertuples(index=False):
+                mu, d = np.array(r.mu, float), np.array(r.diagonal, float)
+                b, ref = (np.array([np.asarray(x) for x in m], float).reshape(len(d), -1) for m in (r.loading, r.reference))
+                raw = linalg.woodbury(d + penalty * float(np.median(d + (ref**2).sum(1))), b, mu)
+                yield pd.DataFrame({"eom": r.eom, "id": r.ids, "native": linalg.to_volatility(raw, d, b, target), "reference": linalg.to_volatility(raw, d, ref, target)})
+
+    return risk.select("eom", "ids", "mu", "diagonal", "loading", "reference").mapInPandas(run, "eom date, id long, native double, reference double")
+
+
+def wide_grid() -> np.ndarray:
+    return np.unique(np.concatenate([[0.0], np.geomspace(1e-8, 1.0, 200), np.arange(1.0, 10001.0), PENALTIES]))
+
+
+def penalty_spectra(risk: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(eom, eom_ret, unit, values, forecast, outcome): a month's stock covariance as eigenvalues, with forecasts and
+    outcomes in its eigenvectors; from these the payoff of any penalty is two sums. Stocks without an outcome count 0."""
+    labels = outcomes.groupBy("eom", "eom_ret").agg(F.map_from_entries(F.collect_list(F.struct("id", "label"))).alias("labels"))  # a month's cross-section
+    known = risk.join(labels, "eom").select("eom", "eom_ret", "mu", "diagonal", "loading", F.transform("ids", lambda i: F.coalesce(F.element_at("labels", i), F.lit(0.0))).alias("y"))
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for frame in batches:
+            for r in frame.itertuples(index=False):
+                d = np.array(r.diagonal, float)
+                b = np.array([np.asarray(x) for x in r.loading], float).reshape(len(d), -1)
+                values, vectors = np.linalg.eigh(np.diag(d) + b @ b.T)
+                yield pd.DataFrame({"eom": [r.eom], "eom_ret": [r.eom_ret], "unit": [float(np.median(d + (b**2).sum(1)))], "values": [np.maximum(values, 0.0)], "forecast": [vectors.T @ np.array(r.mu, float)], "outcome": [vectors.T @ np.array(r.y, float)]})
+
+    return known.mapInPandas(run, "eom date, eom_ret date, unit double, values array<double>, forecast array<double>, outcome array<double>")
+
+
+def spectral_payoffs(unit: float, values: np.ndarray, forecast: np.ndarray, outcome: np.ndarray, grid: np.ndarray, target: float = 0.10, batch: int = 512) -> np.ndarray:
+    """Payoffs of the portfolios at the target volatility, for each penalty."""
+    out = np.empty(len(grid))
+    for at in range(0, len(grid), batch):
+        x = forecast[:, None] / (values[:, None] + unit * grid[None, at : at + batch])
+        out[at : at + batch] = outcome @ x * target / np.sqrt(252 * (values @ x**2))
+    return out
+
+
+def _block_sharpe(payoffs: np.ndarray, blocks: int) -> np.ndarray:
+    parts = [p for p in np.array_split(payoffs, blocks)]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        scores = np.array([np.sqrt(12) * p.mean(0) / p.std(0, ddof=1) for p in parts])
+    total = scores.mean(0)
+    return np.where(np.isfinite(total), total, -np.inf)
+
+
+def wide_penalties(spectra: DataFrame, formations: DataFrame, months: int = 120, blocks: int = 5, least: int = 10, points: int = 10_000) -> DataFrame:
+    """(formation, q): the best mean block Sharpe ratio of the payoffs released by the formation, over the wide grid and
+    then evenly between the winner's neighbours; the coarse winner stays a candidate, ties go to the smallest, and with
+    too few months q is 0. A formation is one task with its months' spectra: at most `months` cross-sections."""
+    age = F.row_number().over(Window.partitionBy("formation").orderBy(F.desc("eom_ret")))
+    known = spectra.join(formations, F.col("eom_ret") <= F.col("formation")).withColumn("age", age).where(F.col("age") <= months)
+
+    def choose(frame: pd.DataFrame) -> pd.DataFrame:
+        q, frame = 0.0, frame.sort_values("eom_ret")
+        if len(frame) >= least:
+            rows = [(r.unit, np.asarray(r.values), np.asarray(r.forecast), np.asarray(r.outcome)) for r in frame[["unit", "values", "forecast", "outcome"]].itertuples(index=False, name="Row")]
+            grid = wide_grid()
+            score = _block_sharpe(np.stack([spectral_payoffs(*r, grid) for r in rows]), blocks)
+            k = int(np.argmax(score))
+            fine = np.unique(np.append(np.linspace(grid[max(0, k - 1)], grid[min(len(grid) - 1, k + 1)], points), grid[k]))
+            if np.isfinite(score[k]):
+                q = float(fine[int(np.argmax(_block_sharpe(np.stack([spectral_payoffs(*r, fine) for r in rows]), blocks)))])
+        return pd.DataFrame({"formation": frame["formation"].iloc[:1], "q": [q]})
+
+    got = known.groupBy("formation").applyInPandas(choose, "formation date, q double")
+    return formations.join(got, "formation", "left").select("formation", F.coalesce("q", F.lit(0.0)).alias("q"))
 
 
 def selected_penalties(bank: DataFrame, formations: DataFrame, value: str, best: str, months: int = 120, blocks: int = 5, least: int = 10) -> DataFrame:
     """(formation, q, score): for each formation, the candidate with the best mean block score over the latest `months`
     payoffs released by then: best 'variance' takes the smallest sample variance, 'sharpe' the largest yearly Sharpe
     ratio. Ties go to the smallest q; with too few months q is 0. All relational."""
-    released = formations.join(F.broadcast(bank), F.col("eom_ret") <= F.col("formation"))  # months x months x candidates: small tables
+    released = formations.join(bank, F.col("eom_ret") <= F.col("formation"))  # months x months x candidates; Spark broadcasts a side if it is small
     by = Window.partitionBy("formation", "q")
     recent = released.withColumn("k", F.row_number().over(by.orderBy(F.desc("eom_ret")))).where(F.col("k") <= months)
     placed = recent.withColumn("block", F.ntile(blocks).over(by.orderBy("eom_ret"))).withColumn("n", F.count("*").over(by)).where(F.col("n") >= least)

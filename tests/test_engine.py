@@ -124,7 +124,7 @@ def test_allocations(spark):
             if name in ("ind", "equal", "minimum", "tangency"):
                 assert all(abs(w[np.array(groups) == g].sum()) < 1e-10 for g in "abc")
     labels = spark.createDataFrame([(i, r[0], r[0] + dt.timedelta(days=30), 0.01 * i) for r in rows for i in r[1]], "id long, eom date, eom_ret date, label double")
-    bank = allocation.penalty_bank(df, labels, [0.0, 1.0]).collect()
+    bank = allocation.penalty_bank(allocation.penalised_weights(df, [0.0, 1.0]), labels).collect()
     assert len(bank) == 6
     one = weights(allocation.markowitz(df, penalty=1.0))
     assert all(np.isclose(r.markowitz, one[r.eom] @ (0.01 * np.arange(14))) for r in bank if r.q == 1.0)
