@@ -26,3 +26,12 @@ def forecast_year(formation: Column) -> Column:
 
 def is_month_end(d: Column) -> Column:
     return d == F.last_day(d)
+
+
+def iso_text(d: Column) -> Column:
+    return F.date_format(d, "yyyy-MM-dd")
+
+
+def parsed_date(text: Column) -> Column:
+    """The date that an ISO text names; null for anything else."""
+    return F.try_to_date(text, "yyyy-MM-dd") if hasattr(F, "try_to_date") else F.to_date(F.when(text.rlike(r"^\\d{4}-\\d{2}-\\d{2}$"), text))

@@ -178,3 +178,26 @@ def mean_month_gram(panel: DataFrame, features: list[str]) -> DataFrame:
     rows = panel.select("eom", vector.alias("f"))
     n = rows.groupBy("eom").agg(F.count("*").alias("n")).where("n > 1")
     return pair_sums(rows, F.lit(1.0), keys=["eom"]).join(n, "eom").groupBy("i", "j").agg(F.avg(F.col("s") / (F.col("n") - 1)).alias("v"))
+
+
+def expanding_covariance(rows: DataFrame, period: str, time: str, half_life: float) -> DataFrame:
+    """(g, period, i, j, v): for each period, the unbiased covariance of all rows up to its end, with weights that halve
+    in half_life steps of `time`. Each period's sums are formed once, and prefixes of them added up: weights relative to
+    a fixed time differ from those relative to a period's end by a factor that cancels."""
+    first = rows.agg(F.min(time)).first()[0]
+    w = F.pow(F.lit(2.0), (F.col(time) - F.lit(first)) / F.lit(float(half_life)))
+    keys = [GROUP, period]
+    sums = pair_sums(rows.withColumn("f", F.concat(F.array(F.lit(1.0)), "f")), w, keys=keys)
+    upto = Window.partitionBy(GROUP, "i", "j").orderBy(period).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = sums.withColumn("s", F.sum("s").over(upto))
+    squares = rows.groupBy(*keys).agg(F.sum(w * w).alias("w2")).withColumn("w2", F.sum("w2").over(Window.partitionBy(GROUP).orderBy(period)))
+    total = sums.where("j = 0").select(*keys, F.col("s").alias("w1"))
+    mean = sums.where("i = 0 AND j > 0").join(total, keys).select(*keys, (F.col("j") - 1).alias("k"), (F.col("s") / F.col("w1")).alias("m"))
+    out = sums.where("i > 0").select(*keys, (F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"), "s").join(total, keys).join(squares, keys)
+    out = out.join(mean.withColumnsRenamed({"k": "i", "m": "mi"}), [*keys, "i"]).join(mean.withColumnsRenamed({"k": "j", "m": "mj"}), [*keys, "j"])
+    return out.select(*keys, "i", "j", ((F.col("s") / F.col("w1") - F.col("mi") * F.col("mj")) / (1 - F.col("w2") / (F.col("w1") * F.col("w1")))).alias("v"))
+
+
+def expanding_factor_covariance(rows: DataFrame, period: str, time: str, correlation: float, variance: float) -> DataFrame:
+    """Correlations and variances of all rows up to each period's end, with a half-life each."""
+    return correlation_with_variance(expanding_covariance(rows, period, time, correlation), expanding_covariance(rows, period, time, variance), [GROUP, period])

@@ -4,46 +4,110 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.calendar import forecast_year
 from ..functions.values import INDUSTRIES, industry
 from . import linalg
 from .joins import on_formation
-from .ranks import long_form, percentile_ranks, wide_form, z_scores
+from .moments import pair_sums
+from .ranks import long_form, median_filled, percentile_ranks, wide_form, z_scores
 
 DENSE = np.unique(np.concatenate([np.arange(1.0, 10001.0), np.geomspace(1e-8, 1.0, 1000), [1e-4]]))
 DAY = "date date, id long, factor array<double>, res double"
 
 
-def exposures(panel: DataFrame, features: list[str], min_obs: int = 10, sic: str = "sic") -> DataFrame:
-    """(eom, eom_ret, id, industry, b): twelve industry indicators, then standardised ranks."""
+def exposures(panel: DataFrame, features: list[str], min_obs: int = 10, sic: str = "sic", variant: str = "standard") -> DataFrame:
+    """(eom, eom_ret, id, industry, b): twelve industry indicators, then characteristics.
+
+    standard: z-scored ranks. percentile: the ranks, 0 where they don't vary in a month. country, industry: z-scored ranks
+    whose missing cells are medians, in groups with enough values. noise: z-scored ranks, with normal draws in place of
+    what doesn't vary in a month (draws follow months, features and ids in order, so a month's depend on the ones before
+    it only)."""
     keys = ["id", "eom", "eom_ret", "excntry", sic]
-    rows = percentile_ranks(long_form(panel, keys, features), ["excntry", "eom", "feature"], min_obs=min_obs)
-    wide = wide_form(z_scores(rows, ["eom", "feature"]), keys, features, "z").withColumn("industry", industry(F.col(sic)))
+    group = ["excntry", "eom", "feature"]
+    rows = long_form(panel, keys, features).withColumn("industry", industry(F.col(sic)))
+    if variant in ("country", "industry"):
+        usable = F.count("x").over(Window.partitionBy(*group)) >= min_obs
+        rows = rows.withColumn("usable", usable)
+        rows = percentile_ranks(rows, group, out="rank", min_obs=min_obs, fill=False)
+        rows = median_filled(rows, group, "rank", "filled", "industry" if variant == "industry" else None)
+        rows = rows.withColumn("x", F.when(F.col("usable"), F.col("filled")).otherwise(0.0)).drop("rank", "filled", "usable")
+    else:
+        rows = percentile_ranks(rows, group, min_obs=min_obs)
+    whole = Window.partitionBy("eom", "feature")
+    varies = F.coalesce(F.round(F.stddev_samp("x").over(whole), 6) != 0, F.lit(False))
+    if variant == "percentile":
+        rows = rows.withColumn("z", F.when(varies, F.col("x")).otherwise(0.0))
+    elif variant == "noise":
+        rows = z_scores(_with_noise(rows, features, varies), ["eom", "feature"])
+    elif variant in ("standard", "country", "industry"):
+        rows = z_scores(rows, ["eom", "feature"])
+    else:
+        raise ValueError(f"no exposures of kind {variant}")
+    wide = wide_form(rows, [*keys, "industry"], features, "z")
     b = F.array(*[(F.col("industry") == name).cast("double") for name in INDUSTRIES], *[F.col(f) for f in features])
     return wide.select("eom", "eom_ret", "id", "industry", b.alias("b"))
 
 
-def daily_regressions(days: DataFrame, b: DataFrame, penalty: float = 1e-4, value: str = "ret_exc") -> DataFrame:
-    """(date, id, factor, res) of all days with two entities or more, on exposures formed the month before. A day is one
-    group: its size is that of the cross-section, and days run in parallel."""
-    joined = on_formation(days, b.select("eom_ret", "id", "b"), ["id"]).select("date", "id", "b", F.col(value).alias("y"))
+def _with_noise(rows: DataFrame, features: list[str], varies: Column, seed: int = 1) -> DataFrame:
+    """Constant cells are numbered over months, features and ids; their draws are read off the stream, which each task
+    winds to its own first number. Only the counts by month and feature are gathered."""
+    marked = rows.withColumn("varies", varies)
+    place = F.create_map(*[x for k, f in enumerate(features) for x in (F.lit(f), F.lit(k))])
+    marked = marked.withColumn("k", place[F.col("feature")])
+    constant = marked.where("NOT varies")
+    counts = constant.groupBy("eom", "k").agg(F.count("*").alias("n"))  # months x features
+    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("eom", "k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    at = F.col("start") + F.row_number().over(Window.partitionBy("eom", "k").orderBy("id")) - 1
+    numbered = constant.join(F.broadcast(starts), ["eom", "k"]).withColumn("at", at)
 
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        if len(frame) < 2:
-            return pd.DataFrame({c: pd.Series([], dtype=kind) for c, kind in (("date", object), ("id", "int64"), ("factor", object), ("res", float))})
-        frame = frame.sort_values("id")
-        x, y = np.stack(frame["b"].to_numpy()), frame["y"].to_numpy(float)
-        f = linalg.section_ridge(x, y, penalty)
-        return pd.DataFrame({"date": frame["date"], "id": frame["id"], "factor": [f] * len(frame), "res": y - x @ f})
+    def draw(batches):  # noqa: ANN001, ANN202
+        from ..functions.normal import NormalStream
 
-    return joined.groupBy("date").applyInPandas(fit, DAY)
+        stream = NormalStream(seed)
+        for frame in batches:
+            values = stream.at(frame["at"].to_numpy())
+            yield frame.assign(x=frame["x"] + values)
+
+    kept = [c for c in rows.columns]
+    drawn = numbered.select(*kept, "at").repartitionByRange("at").sortWithinPartitions("at").mapInPandas(draw, numbered.select(*kept, "at").schema)
+    return marked.where("varies").select(*kept).unionByName(drawn.select(*kept))
+
+
+def daily_regressions(days: DataFrame, b: DataFrame, penalty: float | DataFrame = 1e-4, value: str = "ret_exc") -> DataFrame:
+    """(date, id, factor, res) of all days with two entities or more, on exposures formed the month before. A month's
+    exposures and days meet in one group, so exposures move once and not for every day; months run in parallel. The
+    factor vector stands in the row of a day's first entity only. A table (year, penalty) gives every year its own."""
+    months = days.select(F.last_day("date").alias("eom_ret"), "date", "id", F.col(value).alias("y"))
+    if isinstance(penalty, DataFrame):
+        months = months.join(F.broadcast(penalty), F.year("eom_ret") == F.col("year"), "left").drop("year")  # a row a year
+    else:
+        months = months.withColumn("penalty", F.lit(float(penalty)))
+
+    def fit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        dates, ids, factors, residuals = [], [], [], []
+        if len(left) and len(right):
+            right = right.sort_values("id")
+            known, b_all = right["id"].to_numpy(), np.stack(right["b"].to_numpy())
+            for date, day in left[left["id"].isin(known)].sort_values("id").groupby("date", sort=True):
+                if len(day) < 2:
+                    continue
+                x, y = b_all[np.searchsorted(known, day["id"].to_numpy())], day["y"].to_numpy(float)
+                f = linalg.section_ridge(x, y, float(day["penalty"].iloc[0]))
+                dates += [date] * len(day)
+                ids += day["id"].tolist()
+                factors += [f] + [None] * (len(day) - 1)
+                residuals += (y - x @ f).tolist()
+        return pd.DataFrame({"date": pd.Series(dates, dtype=object), "id": pd.Series(ids, dtype="int64"), "factor": pd.Series(factors, dtype=object), "res": pd.Series(residuals, dtype=float)})
+
+    return months.groupBy("eom_ret").cogroup(b.select("eom_ret", "id", "b").groupBy("eom_ret")).applyInPandas(fit, DAY)
 
 
 def factor_returns(fits: DataFrame) -> DataFrame:
-    return fits.groupBy("date").agg(F.first("factor").alias("f"))
+    return fits.where("factor IS NOT NULL").select("date", F.col("factor").alias("f"))
 
 
 def specific_volatility(res: DataFrame, seed: int = 63, half_life: float = 84.0, least: int = 200, window: int = 252) -> DataFrame:
@@ -70,14 +134,19 @@ def specific_volatility(res: DataFrame, seed: int = 63, half_life: float = 84.0,
     return out.select("id", "date", "vol", F.coalesce(fine, F.lit(False)).alias("eligible"))
 
 
-def filled_volatility(b: DataFrame, vols: DataFrame, penalty: float = 1e-4) -> DataFrame:
+def filled_volatility(b: DataFrame, vols: DataFrame, penalty: float | DataFrame = 1e-4) -> DataFrame:
     """(eom, id, vol): observed where eligible, else from the month's regression of log volatility on exposures. Months
-    with under two observed entities take the latest fit before them."""
+    with under two observed entities take the latest fit before them. A table (year, penalty) gives every forecast year
+    its own penalty."""
     joined = b.join(vols, ["eom", "id"], "left").select("eom", "id", "b", "vol")
+    if isinstance(penalty, DataFrame):
+        joined = joined.join(F.broadcast(penalty), forecast_year(F.col("eom")) == F.col("year"), "left").drop("year")  # a row a year
+    else:
+        joined = joined.withColumn("penalty", F.lit(float(penalty)))
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         seen = frame[frame["vol"].notna() & (frame["vol"] > 0)].sort_values("id")
-        beta = linalg.section_ridge(np.stack(seen["b"].to_numpy()), np.log(seen["vol"].to_numpy(float)), penalty).tolist() if len(seen) > 1 else None
+        beta = linalg.section_ridge(np.stack(seen["b"].to_numpy()), np.log(seen["vol"].to_numpy(float)), float(seen["penalty"].iloc[0])).tolist() if len(seen) > 1 else None
         return pd.DataFrame({"eom": [frame["eom"].iloc[0]], "beta": [beta]})
 
     fits = joined.groupBy("eom").applyInPandas(fit, "eom date, beta array<double>")
@@ -157,10 +226,9 @@ def chosen_section_penalties(scores: DataFrame, years: list[int], months: int =
     return total.groupBy("year").agg(F.min_by("penalty", F.struct("mse", "penalty")).alias("penalty"))
 
 
-def section_bases(days: DataFrame, b: DataFrame, folds: int = 5, value: str = "ret_exc") -> tuple[DataFrame, list]:
-    """(date, total, scale, e, rhs, gram, cross, square), a row a fold of each month's last day with two entities or
-    more, and those days. total: held-out entities of the day's folds."""
-    joined = on_formation(days, b.select("eom_ret", "id", "b"), ["id"]).select("date", "id", "b", F.col(value).alias("y"))
+def section_bases(joined: DataFrame, folds: int = 5) -> tuple[DataFrame, list]:
+    """(date, total, scale, e, rhs, gram, cross, square) of cross-sections (date, id, b, y): a row a fold of each month's
+    last one with two entities or more, and their dates. total: held-out entities of the date's folds."""
     fit = joined.groupBy("date").count().where("count > 1")
     last = sorted(r[0] for r in fit.groupBy(F.last_day("date")).agg(F.max("date").alias("date")).select("date").collect())  # a row a month
 
@@ -201,11 +269,22 @@ def _section_losses(bases: DataFrame, grids: dict[int, np.ndarray], known: dict[
     return {int(y): part.sort_values("k")["loss"].to_numpy() / len(known[y]) for y, part in out.groupby("year")}
 
 
-def searched_section_penalties(days: DataFrame, b: DataFrame, years: list[int], months: int = 120, baseline: float = 1e-4, start: np.ndarray = DENSE, points: int = 10_000, extensions: int = 3) -> DataFrame:
+def searched_section_penalties(days: DataFrame, b: DataFrame, years: list[int], value: str = "ret_exc", **search) -> DataFrame:  # noqa: ANN003
+    """(year, penalty) for daily regressions: searched_penalties over days with the exposures of the month before."""
+    return searched_penalties(on_formation(days, b.select("eom_ret", "id", "b"), ["id"]).select("date", "id", "b", F.col(value).alias("y")), years, **search)
+
+
+def searched_volatility_penalties(b: DataFrame, vols: DataFrame, years: list[int], **search) -> DataFrame:  # noqa: ANN003
+    """(year, penalty) for the regression of log volatility: searched_penalties over months' observed volatilities."""
+    seen = b.join(vols.where("vol > 0"), ["eom", "id"]).select(F.col("eom").alias("date"), "id", "b", F.log("vol").alias("y"))
+    return searched_penalties(seen, years, **search)
+
+
+def searched_penalties(sections: DataFrame, years: list[int], months: int = 120, baseline: float = 1e-4, start: np.ndarray = DENSE, points: int = 10_000, extensions: int = 3) -> DataFrame:
     """(year, penalty): the least held-out error over the last fit day of each of the `months` months before the year,
     days alike. A winner on the grid's edge extends the grid by two decades, then its neighbours' span is searched
     evenly; ties go to the smallest. Years without usable days keep the baseline. Only losses leave the cluster."""
-    bases, last = section_bases(days, b)
+    bases, last = section_bases(sections)
     bases = bases.persist()
     usable = {r[0] for r in bases.select("date").distinct().collect()}
     known = {y: [d for d in [d for d in last if d.year < y][-months:] if d in usable] for y in years}
@@ -235,7 +314,7 @@ def searched_section_penalties(days: DataFrame, b: DataFrame, years: list[int],
         merged({y: np.linspace(g[max(0, best[y] - 1)], g[min(len(g) - 1, best[y] + 1)], points) for y, g in grids.items()})
     bases.unpersist()
     rows = [(y, float(grids[y][int(np.argmin(losses[y]))]) if y in grids else baseline) for y in years]
-    return days.sparkSession.createDataFrame(rows, "year int, penalty double")
+    return sections.sparkSession.createDataFrame(rows, "year int, penalty double")
 
 
 def drawdown_states(proxy: DataFrame) -> DataFrame:
@@ -243,3 +322,45 @@ def drawdown_states(proxy: DataFrame) -> DataFrame:
     from .evaluation import drawdowns
 
     return drawdowns(proxy, order="date").select("date", "ret", F.col("drawdown_before").alias("drawdown"))
+
+
+def last_volatility(vols: DataFrame) -> DataFrame:
+    """(id, eom, vol): the last eligible one of each month."""
+    return vols.where("eligible").groupBy("id", F.last_day("date").alias("eom")).agg(F.max_by("vol", "date").alias("vol"))
+
+
+def characteristic_bases(b: DataFrame, years: list[int], share: float = 0.9, months: int = 120) -> dict[int, np.ndarray]:
+    """Each year's projection of exposures: industries as they are, characteristics on the leading axes of their mean
+    monthly Gram over the months before the year. Only K x K sums of each month leave the cluster, added up by year."""
+    at = len(INDUSTRIES)
+    k = b.select(F.size("b")).first()
+    if k is None:
+        return {}
+    rows = b.select("eom", F.slice("b", at + 1, k[0] - at).alias("f"))
+    n = rows.groupBy("eom").agg(F.count("*").alias("n")).where("n > 1")
+    grams = pair_sums(rows, F.lit(1.0), keys=["eom"]).join(n, "eom").select("eom", "i", "j", (F.col("s") / (F.col("n") - 1)).alias("v"))
+    wanted = b.sparkSession.createDataFrame([(y,) for y in years], "year int")
+    known = n.select("eom").join(F.broadcast(wanted), F.year("eom") < F.col("year"))  # a row a month and year
+    known = known.withColumn("age", F.row_number().over(Window.partitionBy("year").orderBy(F.desc("eom")))).where(F.col("age") <= months)
+    means = grams.join(F.broadcast(known.select("eom", "year")), "eom").groupBy("year", "i", "j").agg(F.avg("v").alias("v")).toPandas()  # years x K x K
+    out = {}
+    for year, part in means.groupby("year"):
+        v = linalg.principal(linalg.statistics_matrix(part["i"].to_numpy(), part["j"].to_numpy(), part["v"].to_numpy()), share)
+        v = v if v.shape[1] else np.eye(k[0] - at)[:, :1]
+        out[int(year)] = np.block([[np.eye(at), np.zeros((at, v.shape[1]))], [np.zeros((len(v), at)), v]])
+    return out
+
+
+def projected_by_year(b: DataFrame, bases: dict[int, np.ndarray]) -> DataFrame:
+    """Exposures on their forecast year's basis; years without one go."""
+    shared = b.sparkSession.sparkContext.broadcast(bases)
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for frame in batches:
+            for year, part in frame.groupby("year"):
+                if int(year) in shared.value:
+                    x = np.stack(part["b"].to_numpy()) @ shared.value[int(year)]
+                    yield part.drop(columns=["year"]).assign(b=list(x))
+
+    rows = b.withColumn("year", forecast_year(F.col("eom")))
+    return rows.mapInPandas(run, b.schema)

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import allocation_queries, queries  # noqa: F401
+from . import allocation_queries, forecast_queries, queries, risk_queries, table_queries  # noqa: F401
 from .queries import ORACLES, QUERIES  # noqa: F401

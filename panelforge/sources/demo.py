@@ -45,10 +45,13 @@ def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, date, ret_exc): a supplier-day's mean discounted price against the day's mean, scaled."""
+    """(id, date, ret_exc): a supplier-day's mean discounted price, in whole hundredths of cents, against the day's mean,
+    scaled. Sums are of whole numbers, so no order of rows can change a value."""
     lines = table(spark, sf_dir, "lineitem")
-    mean = lines.groupBy(F.col("l_suppkey").alias("id"), F.col("l_shipdate").cast("date").alias("date")).agg(F.avg(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"))
-    return mean.select("id", "date", F.round((F.col("v") - F.avg("v").over(Window.partitionBy("date"))) / 1e6, 8).alias("ret_exc"))
+    price = F.round(F.col("l_extendedprice") * 100).cast("long") * (100 - F.round(F.col("l_discount") * 100).cast("long"))
+    mean = lines.groupBy(F.col("l_suppkey").alias("id"), F.col("l_shipdate").cast("date").alias("date")).agg(F.round(F.sum(price) / F.count("*")).cast("long").alias("v"))
+    day = Window.partitionBy("date")
+    return mean.select("id", "date", ((F.col("v") - F.sum("v").over(day) / F.count("*").over(day)) / 1e10).alias("ret_exc"))
 
 
 #: The same panels for the oracle.
@@ -67,5 +70,5 @@ panel AS (SELECT led.* EXCLUDE (next_price, next_eom),
   FROM led JOIN supplier ON s_suppkey = id JOIN nation ON n_nationkey = s_nationkey)"""
 )
 DAYS_SQL = """
-dm AS (SELECT l_suppkey AS id, CAST(l_shipdate AS DATE) AS date, avg(l_extendedprice * (1 - l_discount)) AS v FROM lineitem GROUP BY ALL),
-days AS (SELECT id, date, round((v - avg(v) OVER (PARTITION BY date)) / 1e6, 8) AS ret_exc FROM dm)"""
+dm AS (SELECT l_suppkey AS id, CAST(l_shipdate AS DATE) AS date, CAST(round(CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT) * (100 - CAST(round(l_discount * 100) AS BIGINT))) AS DOUBLE) / count(*)) AS BIGINT) AS v FROM lineitem GROUP BY ALL),
+days AS (SELECT id, date, (v - CAST(sum(v) OVER (PARTITION BY date) AS DOUBLE) / count(*) OVER (PARTITION BY date)) / 1e10 AS ret_exc FROM dm)"""

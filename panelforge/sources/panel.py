@@ -37,12 +37,15 @@ def feature_list(features: DataFrame, column: str = "features") -> list[str]:
     return names
 
 
+def missing_columns(df: DataFrame, wanted: Iterable[str]) -> list[str]:
+    return sorted(set(wanted) - set(df.columns))
+
+
 def canonical(raw: DataFrame, features: Iterable[str], test: str = "test", label: str = "label") -> DataFrame:
     """The characteristics table by projection: types as the model has them, NaN as null."""
     features = list(features)
-    missing = {"id", "eom", "eom_ret", "excntry", test, label, *features} - set(raw.columns)
-    if missing:
-        raise ValueError(f"missing columns: {sorted(missing)}")
+    if missing := missing_columns(raw, ["id", "eom", "eom_ret", "excntry", test, label, *features]):
+        raise ValueError(f"missing columns: {missing}")
     meta = [F.col("id").cast("long").alias("id"), F.col("eom").cast("date").alias("eom"), F.col("eom_ret").cast("date").alias("eom_ret"), F.col("excntry").cast("string").alias("excntry")]
     return raw.select(*meta, flag(F.col(test)).alias("test"), present(F.col(label)).alias("label"), *[present(F.col(f)).alias(f) for f in features])
 

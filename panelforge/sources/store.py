@@ -4,11 +4,70 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def row_digest(*columns: str) -> Column:
+    """SHA-256 of the columns' texts; what is null is left out."""
+    return F.sha2(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in columns]), 256)
+
+
+def code_hash() -> str:
+    """Of the package's source files, in the order of their names: a part of a stage's identity."""
+    root, out = Path(__file__).parents[1], hashlib.sha256()
+    for p in sorted(root.rglob("*.py")):
+        if "llm" not in p.parts:
+            out.update(str(p.relative_to(root)).encode() + b"\0" + p.read_bytes())
+    return out.hexdigest()
+
+
+def differences(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows, counted, that only one of two tables has, with the side that has them; none if the tables are equal."""
+    right = right.select(*left.columns)
+    return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
+
+
+def bundled(rows: DataFrame, columns: list[str], key: str = "eom") -> DataFrame:
+    """A row for each key with its rows' columns as arrays, in the order of the first of them."""
+    one = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("x"))
+    return one.select(key, *[F.col("x").getField(c).alias(c) for c in columns])
+
+
+def unbundled(bundle: DataFrame, columns: list[str], key: str = "eom") -> DataFrame:
+    return bundle.select(key, F.inline(F.arrays_zip(*columns))).toDF(key, *columns)
+
+
+def write_models(models: DataFrame, path: str) -> None:
+    """Fits (year, penalty, beta), a row a year, sorted, with a digest of each to tell a damaged one by."""
+    models.withColumn("digest", row_digest("year", "penalty", "beta")).coalesce(1).sortWithinPartitions("year").write.mode("overwrite").parquet(path)
+
+
+def read_models(spark: SparkSession, path: str) -> DataFrame:
+    """The fits; reading a row whose digest differs raises."""
+    rows = spark.read.parquet(path)
+    fine = row_digest("year", "penalty", "beta") == F.col("digest")
+    return rows.withColumn("beta", F.when(fine, F.col("beta")).otherwise(F.raise_error(F.lit("a stored fit has changed")))).drop("digest")
+
+
+def receipts(rows: DataFrame, cutoffs: list[str], column: str = "eom") -> DataFrame:
+    """(cutoff, rows, fingerprint): what was known by each cutoff, never hashing anything later."""
+    out = []
+    for c in cutoffs:
+        known = known_by(rows, c, column)
+        out.append((c, known.count(), fingerprint(known)))
+    return rows.sparkSession.createDataFrame(out, "cutoff string, rows long, fingerprint string")
+
+
+def certified(scores: DataFrame, chosen: DataFrame, keys: list[str], candidate: str, score: str) -> DataFrame:
+    """(keys, candidate, regret): how much worse each choice is than the best candidate; 0 where it is an argmin."""
+    best = scores.groupBy(*keys).agg(F.min(score).alias("__best"))
+    return chosen.join(scores, [*keys, candidate]).join(best, keys).select(*keys, candidate, (F.col(score) - F.col("__best")).alias("regret"))
+
+
 def fingerprint(df: DataFrame) -> str:
     """Of the rows in any order: null is not NaN, NaN is NaN, -0 is 0. Row hashes are added up, so nothing is sorted."""
     columns = []
@@ -57,7 +116,7 @@ class Store:
             raise ValueError(f"{stage} has changed")
         return out
 
-    def get(self, stage: str, identity: dict, make) -> DataFrame:  # noqa: ANN001
+    def get(self, stage: str, identity: dict, make: Callable[[], DataFrame]) -> DataFrame:
         done = self.read(stage, identity)
         return self.write(stage, make(), identity) if done is None else done
 
