@@ -4,7 +4,7 @@ A classifier that is trained on the labelled table's documents gives every docum
 rates r >= floor are then fitted by projected gradient descent on the least squares of (expected domain tokens - target
 tokens), where a document of t tokens with posteriors p adds r*t*p. A step needs the vector of domain totals only, one
 number for each domain, so an iteration is one narrow aggregation; a document's rate follows from its own posteriors
-and the steps so far, so nothing is stored for each document between iterations.
+and the steps so far, so only every twelfth iteration stores the rates.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ BUCKETS = 1 << 14  # of the classifier's features
 TEMPERATURE = 0.7  # default targets: shares to this power
 FLOOR, CEILING = 0.0, float("inf")
 STEPS, TOLERANCE = 200, 2e-3  # the tolerance is relative to each domain's target
+KEPT = 12  # steps between two tables of rates
 MEMO = 120_000
 WORD = re.compile(r"\w+")
 
@@ -124,15 +125,16 @@ def memberships(text: Column, model: DomainModel) -> Column:
     return judged(text)
 
 
-def _rate(p: list[Column], steps: list[np.ndarray], floor: float, ceiling: float) -> Column:
-    """The rate after the steps so far: each moves it against the gradient and projects it onto [floor, ceiling]."""
+def _rate(p: list[Column], steps: list[np.ndarray], floor: float, ceiling: float, start: Column | None = None) -> Column:
+    """The rate after the steps so far: each moves it against the gradient and projects it onto [floor, ceiling]. With
+    start, the rate that those steps begin from."""
     moves = F.array(*[F.array(*[F.lit(float(v)) for v in s]) for s in steps]) if steps else F.array().cast("array<array<double>>")
 
     def step(r: Column, move: Column) -> Column:
         down = sum((p[d] * move[d] for d in range(len(p))), F.lit(0.0))
         return F.least(F.greatest(r - down, F.lit(floor)), F.lit(ceiling))
 
-    return F.aggregate(moves, F.lit(min(max(1.0, floor), ceiling)), step)
+    return F.aggregate(moves, F.lit(min(max(1.0, floor), ceiling)) if start is None else start, step)
 
 
 class Mixture:
@@ -180,13 +182,17 @@ def fitted(members: DataFrame, domains: list[str], weights: dict[str, float] | N
     weigh = np.linalg.inv(gram + 1e-9 * gram.trace() * np.eye(k))
     history: list[np.ndarray] = []
     reached, loss = mass * min(max(1.0, floor), ceiling), np.inf
+    rated, since = members.withColumn("r", F.lit(min(max(1.0, floor), ceiling))), 0
     for _ in range(steps + 1):
         residual = reached - targets
         before, loss = loss, float(residual @ weigh @ residual)
         if (np.abs(residual) <= TOLERANCE * np.maximum(targets, 1.0)).all() or loss > before * (1 - 1e-4) or len(history) == steps:
             break
         history.append(weigh @ residual)
-        row = members.withColumn("r", _rate(p, history, floor, ceiling)).agg(*[F.sum(F.col("r") * t * p[d]).alias(f"m{d}") for d in range(k)]).first()
+        if len(history) - since > KEPT:  # rates so far are stored, so that a step applies KEPT moves at most
+            rated = cut(rated.withColumn("r", _rate(p, history[since:-1], floor, ceiling, F.col("r"))))
+            since = len(history) - 1
+        row = rated.withColumn("r", _rate(p, history[since:], floor, ceiling, F.col("r"))).agg(*[F.sum(F.col("r") * t * p[d]).alias(f"m{d}") for d in range(k)]).first()
         reached = np.array([row[f"m{d}"] or 0.0 for d in range(k)])
     return Mixture(domains, targets, reached, history, floor, ceiling)
 
@@ -216,10 +222,11 @@ def mixed(docs: DataFrame, model: DomainModel, weights: dict[str, float] | None
 
     The fraction of a rate is drawn by a hash of the id, so repeated rows are drawn alike; null ids are one id. Null and
     empty texts have posteriors from the classifier's bias. No rows give no rows. Texts are classified once: rows and
-    posteriors are cut together."""
+    posteriors are cut together, and the posteriors once more by themselves."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     judged = cut(docs.select(row, F.col(f"`{id_col}`").alias("id"), memberships(F.col(f"`{text_col}`"), model).alias("m")).select("row", "id", "m.tokens", "m.posteriors"))
-    mixture = fitted(judged.select("tokens", "posteriors"), model.domains, weights, floor, ceiling)
+    members = cut(judged.select("tokens", "posteriors"))  # narrow, as every step of the fit reads it
+    mixture = fitted(members, model.domains, weights, floor, ceiling)
     out = judged.select("row", copies_of(mixture.rate(F.col("posteriors")), "id").alias("copies")).where("copies > 0")
     out = out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     return out.select("row.*", *([F.col("copy").alias(copy_col)] if copy_col else []))
