@@ -27,6 +27,7 @@ TEMPERATURE = 0.7  # default targets: shares to this power
 FLOOR, CEILING = 0.0, float("inf")
 STEPS, TOLERANCE = 200, 2e-3  # the tolerance is relative to each domain's target
 KEPT = 12  # steps between two tables of rates
+WAVES, TASK_ROWS = 2, 1_000_000  # of a step: tasks for each core, unless a task then has more rows
 MEMO = 120_000
 WORD = re.compile(r"\w+")
 
@@ -157,11 +158,14 @@ def fitted(members: DataFrame, domains: list[str], weights: dict[str, float] | N
     target, it is raised until no domain has too much.
 
     In the metric that weights a rate by its document's tokens, the step of a document with posteriors p is
-    p . (weighted residual), the same for any number of tokens."""
+    p . (weighted residual), the same for any number of tokens.
+
+    The rows are as few bytes each as the texts were many, so the steps run over them in fewer partitions than the texts
+    came in, put together without a shuffle."""
     k = len(domains)
     p = [F.col("posteriors")[d] for d in range(k)]
     t = F.col("tokens")
-    first = members.agg(*[F.sum(t * p[d]).alias(f"m{d}") for d in range(k)], *[F.sum(t * p[d] * p[e]).alias(f"g{d}_{e}") for d in range(k) for e in range(d, k)]).first()
+    first = members.agg(F.count("*").alias("n"), *[F.sum(t * p[d]).alias(f"m{d}") for d in range(k)], *[F.sum(t * p[d] * p[e]).alias(f"g{d}_{e}") for d in range(k) for e in range(d, k)]).first()
     mass = np.array([first[f"m{d}"] or 0.0 for d in range(k)])
     total = mass.sum()
     if weights is None:
@@ -182,7 +186,8 @@ def fitted(members: DataFrame, domains: list[str], weights: dict[str, float] | N
     weigh = np.linalg.inv(gram + 1e-9 * gram.trace() * np.eye(k))
     history: list[np.ndarray] = []
     reached, loss = mass * min(max(1.0, floor), ceiling), np.inf
-    rated, since = members.withColumn("r", F.lit(min(max(1.0, floor), ceiling))), 0
+    parts = max(WAVES * members.sparkSession.sparkContext.defaultParallelism, -(-first["n"] // TASK_ROWS))
+    rated, since = cut(members.coalesce(parts).select("tokens", "posteriors", F.lit(min(max(1.0, floor), ceiling)).alias("r"))), 0
     for _ in range(steps + 1):
         residual = reached - targets
         before, loss = loss, float(residual @ weigh @ residual)
