@@ -113,9 +113,9 @@ def al9(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("al10_wide_penalties")
 def al10(spark: SparkSession, sf: str) -> DataFrame:
-    rows = risk_rows(spark, sf).persist()
-    spectra = allocation.penalty_spectra(rows, outcomes(spark, sf)).persist()
-    return allocation.wide_penalties(spectra, rows.select(F.col("eom").alias("formation")))
+    profiles = allocation.penalty_profiles(risk_rows(spark, sf), outcomes(spark, sf)).persist()
+    months = profiles.select("eom").collect()  # not a second branch of the plan, which would make the profiles again
+    return allocation.wide_penalties(profiles, spark.createDataFrame(months, "formation date"))
 
 
 def _sleeves(combine: str, pick: str) -> None:
